@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langweave.functions.text import NormalizeOptions, is_valid_text, normalize_text
+from langweave.scratch import computed_once
 
 
 def filter_valid_text(df: DataFrame, column: str = "text_raw") -> DataFrame:
@@ -19,7 +20,7 @@ def filter_nonempty_norm(df: DataFrame, column: str = "text_norm") -> DataFrame:
 
 def clean(df: DataFrame, options: NormalizeOptions = NormalizeOptions()) -> DataFrame:
     """Valid rows with their ``text_norm``, empty results dropped; one stage, no shuffle."""
-    normalised = filter_valid_text(df).withColumn("text_norm", normalize_text(F.col("text_raw"), options))
+    normalised = computed_once(filter_valid_text(df), "text_norm", normalize_text(F.col("text_raw"), options))
     return filter_nonempty_norm(normalised)
 
 

@@ -1,24 +1,26 @@
 """Word and character n-gram TF-IDF, script-ratio features and their assembly into vectors.
 
-The raw text is placed by document key once. Exploding it into terms keeps that placement, so term
-counts, norms and vectors of a document are all computed where its text lies: the only other shuffle
-is the partially aggregated vocabulary count.
+Fitting a vocabulary shuffles once, by term, after partial aggregation. Applying it needs no shuffle:
+n-grams, counts, weights and the unit length of a document are all computed inside its row, so the same
+code serves a table of any size and a stream.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from langweave.fixed_values import CHAR_NGRAMS, MAX_FEATURES, WORD_NGRAMS
-from langweave.functions.text import WORD as WORD_CHARS
-from langweave.functions.text import clean_whitespace, script_ratios
-from langweave.scratch import BROADCAST_ROWS, materialize
+from langweave.functions.ngrams import char_wb_ngrams, word_ngrams
+from langweave.functions.text import script_ratios
+from langweave.scratch import computed_once, materialize
 
 WORD, CHAR = "word", "char"
 RATIOS = ("arab_ratio", "latin_ratio", "cs_ratio")
@@ -33,73 +35,38 @@ class FeatureOptions:
     char_ngrams: tuple[int, int] = CHAR_NGRAMS
 
 
-def place_by_key(docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-    return docs.select(key, *carry, F.col(text).alias("_text")).repartition(key)
+@dataclass(frozen=True)
+class Vocabulary:
+    """Terms in slot order and their idf; at most ``max_features`` of them, so small enough to hold."""
 
+    terms: list[str]
+    idf: list[float]
 
-def _runs(pieces: str, longest: int) -> Column:
-    """Per position, a struct of the piece and its followers (null past the end), in linear time."""
-    column = F.col(pieces)
-    shifted = [column] + [F.slice(column, F.lit(i + 1), F.size(column)) for i in range(1, longest)]
-    return F.arrays_zip(*shifted)
 
+def literal_array(values: Sequence[float]) -> Column:
+    """A constant double array; one folded literal however many values."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<double>")
 
-def word_ngrams(placed: DataFrame, keep: Sequence[str], sizes: tuple[int, int] = WORD_NGRAMS) -> DataFrame:
-    """``keep, term``: runs of words of two or more word characters, joined by one space."""
-    low, high = sizes
-    parts = [f"_p{i}" for i in range(high)]
-    words = F.regexp_extract_all(F.lower("_text"), F.lit(f"([{WORD_CHARS}]{{2,}})"), F.lit(1))
-    terms = []
-    for size in range(low, high + 1):
-        gaps = [x for part in parts[:size] for x in (F.lit(" "), F.col(part))][1:]
-        terms.append(F.concat(*gaps))  # null as soon as one part lies past the end
-    return (
-        placed.select(*keep, words.alias("_pieces"))
-        .select(*keep, F.inline(_runs("_pieces", high)).alias(*parts))
-        .select(*keep, F.explode(F.array(*terms)).alias("term"))
-        .filter(F.col("term").isNotNull())
-    )
 
+def block_ngrams(text: Column, block: str, options: FeatureOptions = FeatureOptions()) -> Column:
+    if block == WORD:
+        return word_ngrams(text, options.word_ngrams)
+    return char_wb_ngrams(text, options.char_ngrams)
 
-def char_wb_ngrams(placed: DataFrame, keep: Sequence[str], sizes: tuple[int, int] = CHAR_NGRAMS) -> DataFrame:
-    """``keep, term``: character n-grams inside each whitespace word padded by one space per side.
 
-    Over the single-spaced text, these are the windows with no space strictly inside them.
+def term_statistics(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """``term, total_tf, df`` over all documents, written out once.
+
+    Each document contributes its grams and then its distinct grams to one exploded list; the position
+    tells the two apart, so both counts come from one pass and one partially aggregated shuffle.
     """
-    low, high = sizes
-    if low < 2:
-        raise ValueError("character n-grams start at size 2: a padded word always holds one")
-    parts = [f"_p{i}" for i in range(high)]
-    spaced = clean_whitespace(F.lower("_text"))
-    terms = []
-    for size in range(low, high + 1):
-        inside = F.lit(True)
-        for part in parts[1 : size - 1]:
-            inside = inside & (F.col(part) != " ")
-        terms.append(F.when(inside, F.concat(*[F.col(part) for part in parts[:size]])))
-    return (
-        placed.select(*keep, spaced.alias("_spaced"))
-        .filter(F.col("_spaced") != "")
-        .select(*keep, F.split(F.concat(F.lit(" "), F.col("_spaced"), F.lit(" ")), "").alias("_pieces"))
-        .select(*keep, F.inline(_runs("_pieces", high)).alias(*parts))
-        .select(*keep, F.explode(F.array(*terms)).alias("term"))
-        .filter(F.col("term").isNotNull())
+    grams = docs.select(block_ngrams(F.col(text), block, options).alias("_grams"))
+    listed = grams.select(
+        F.size("_grams").alias("_n"),
+        F.posexplode(F.concat("_grams", F.array_distinct("_grams"))).alias("_position", "term"),
     )
-
-
-def term_counts(placed: DataFrame, keep: Sequence[str], block: str, options: FeatureOptions) -> DataFrame:
-    """``keep, term, tf`` of one block; no shuffle when ``placed`` lies by key."""
-    if block == WORD:
-        terms = word_ngrams(placed, keep, options.word_ngrams)
-    else:
-        terms = char_wb_ngrams(placed, keep, options.char_ngrams)
-    return terms.groupBy(*keep, "term").agg(F.count("*").alias("tf"))
-
-
-def term_statistics(docs: DataFrame, key: str, text: str, block: str, options: FeatureOptions) -> DataFrame:
-    """``term, total_tf, df`` over all documents, written out once."""
-    per_doc = term_counts(place_by_key(docs, key, text), [key], block, options)
-    stats = per_doc.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.count("*").alias("df"))
+    occurrence = F.col("_position") < F.col("_n")
+    stats = listed.groupBy("term").agg(F.count_if(occurrence).alias("total_tf"), F.count_if(~occurrence).alias("df"))
     return materialize(stats, f"terms-{block}")
 
 
@@ -128,134 +95,137 @@ def smooth_idf(df: Column, n_docs: int) -> Column:
     return F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + df)) + 1.0
 
 
-def fit_block(docs: DataFrame, key: str, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
-    """Vocabulary of one block: ``term, slot, idf`` with slots in term order, at most ``max_features`` rows."""
-    top = vocab_topk(term_statistics(docs, key, text, block, options), options.max_features)
-    slots = F.row_number().over(Window.orderBy("term")) - 1
-    vocabulary = top.select("term", slots.alias("slot"), smooth_idf(F.col("df"), docs.count()).alias("idf"))
-    return materialize(vocabulary, f"vocabulary-{block}")
-
+def fit_vocabulary(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> Vocabulary:
+    """The kept terms of one block, in term order, with their idf."""
+    top = vocab_topk(term_statistics(docs, text, block, options), options.max_features)
+    rows = top.select("term", smooth_idf(F.col("df"), docs.count()).alias("idf")).collect()
+    rows.sort(key=lambda row: row["term"].encode())
+    return Vocabulary([row["term"] for row in rows], [row["idf"] for row in rows])
+
+
+def add_tfidf(df: DataFrame, text: str, block: str, vocabulary: Vocabulary, options: FeatureOptions) -> DataFrame:
+    """Add ``{block}_slots`` and ``{block}_weights``: (1 + ln tf) * idf of the known terms of a row, scaled
+    to unit length. A row without known terms, or with null text, has empty arrays."""
+    slots, weights = f"{block}_slots", f"{block}_weights"
+    if not vocabulary.terms:
+        return df.withColumn(slots, F.array().cast("array<int>")).withColumn(weights, F.array().cast("array<double>"))
+    grams = block_ngrams(F.coalesce(F.col(text), F.lit("")), block, options)
+    counter = CountVectorizerModel.from_vocabulary(vocabulary.terms, "_grams", "_vector")
+    counted = counter.transform(df.withColumn("_grams", grams))
+    counted = computed_once(counted, "_counts", F.unwrap_udt("_vector")).drop("_grams", "_vector")
+    idf = literal_array(vocabulary.idf)
+    raw = F.zip_with("_counts.indices", "_counts.values", lambda i, tf: (1.0 + F.ln(tf)) * F.get(idf, i))
+    weighted = computed_once(counted, "_raw", raw)
+    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x * x))
+    scaled = computed_once(weighted, "_length", length)
+    return scaled.select(
+        *df.columns,
+        F.col("_counts.indices").alias(slots),
+        F.transform("_raw", lambda x: x / F.col("_length")).alias(weights),
+    )
 
-def tfidf(placed: DataFrame, keep: Sequence[str], block: str, vocabulary: DataFrame, options: FeatureOptions) -> DataFrame:
-    """``keep, term, slot, weight``: (1 + ln tf) * idf, scaled to unit length per document.
 
-    The vocabulary is broadcast while its bound ``max_features`` allows; documents with no known term
-    have no rows.
-    """
-    side = F.broadcast(vocabulary) if options.max_features <= BROADCAST_ROWS else vocabulary
-    known = term_counts(placed, keep, block, options).join(side, "term")
-    raw = (1.0 + F.ln("tf")) * F.col("idf")
-    length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(*keep)))
-    return known.select(*keep, "term", "slot", (raw / length).alias("weight"))
+def tfidf(
+    docs: DataFrame, key: str, text: str, block: str, vocabulary: Vocabulary, options: FeatureOptions = FeatureOptions()
+) -> DataFrame:
+    """``key, slot, weight`` in long form."""
+    entries = F.arrays_zip(F.col(f"{block}_slots").alias("slot"), F.col(f"{block}_weights").alias("weight"))
+    return add_tfidf(docs.select(key, text), text, block, vocabulary, options).select(key, F.inline(entries))
 
 
 def fit_ratio_scaling(docs: DataFrame, text: str) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per ratio (1 where there is no spread), in one pass."""
-    ratios = docs.select(script_ratios(F.col(text)).alias("r")).select("r.*")
+    ratios = computed_once(docs.select(text), "_r", script_ratios(F.col(text)))
     stats = ratios.agg(
-        *[F.avg(c).alias(f"{c}_mean") for c in RATIOS], *[F.stddev_pop(c).alias(f"{c}_std") for c in RATIOS]
+        *[F.avg(f"_r.{c}").alias(f"{c}_mean") for c in RATIOS],
+        *[F.stddev_pop(f"_r.{c}").alias(f"{c}_std") for c in RATIOS],
     ).first()
     return {c: (stats[f"{c}_mean"] or 0.0, stats[f"{c}_std"] or 1.0) for c in RATIOS}
 
 
-def scale_features(docs: DataFrame, text: str, scaling: dict[str, tuple[float, float]], keep: Sequence[str]) -> DataFrame:
-    """``keep`` and the three ratios as (x - mean) / std."""
-    ratios = docs.select(*keep, script_ratios(F.col(text)).alias("_r"))
-    return ratios.select(
-        *keep, *[((F.col(f"_r.{c}") - mean) / std).alias(c) for c, (mean, std) in scaling.items()]
-    )
+def scale_features(df: DataFrame, text: str, scaling: dict[str, tuple[float, float]]) -> DataFrame:
+    """Add the three ratios as (x - mean) / std."""
+    ratios = computed_once(df, "_r", script_ratios(F.coalesce(F.col(text), F.lit(""))))
+    scaled = {c: (F.col(f"_r.{c}") - mean) / std for c, (mean, std) in scaling.items()}
+    return ratios.withColumns(scaled).drop("_r")
 
 
 @dataclass
 class FeatureModel:
-    """Fitted vocabularies and ratio scaling; turns documents into ``word | char | ratio`` vectors."""
+    """Fitted vocabularies and ratio scaling; turns a text into its ``word | char | ratio`` slots."""
 
-    word_vocabulary: DataFrame
-    char_vocabulary: DataFrame
+    word: Vocabulary
+    char: Vocabulary
     scaling: dict[str, tuple[float, float]]
     options: FeatureOptions = field(default_factory=FeatureOptions)
 
-    def __post_init__(self):
-        self.n_word = self.word_vocabulary.count()
-        self.n_char = self.char_vocabulary.count()
-        self.size = self.n_word + self.n_char + len(RATIOS)
-
-    def weights(self, docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-        """``key, carry, slot, value`` over the assembled slots.
+    @property
+    def size(self) -> int:
+        return len(self.word.terms) + len(self.char.terms) + len(RATIOS)
+
+    def add_entries(self, df: DataFrame, text: str) -> DataFrame:
+        """Add ``slots`` and ``weights``, the non-zero entries of the assembled vector, row by row."""
+        n_word, n_terms = len(self.word.terms), len(self.word.terms) + len(self.char.terms)
+        out = add_tfidf(df, text, WORD, self.word, self.options)
+        out = add_tfidf(out, text, CHAR, self.char, self.options)
+        out = scale_features(out, text, self.scaling)
+        ratio_slots = F.array(*[F.lit(n_terms + i) for i in range(len(RATIOS))])
+        return out.select(
+            *df.columns,
+            F.concat("word_slots", F.transform("char_slots", lambda i: i + n_word), ratio_slots).alias("slots"),
+            F.concat("word_weights", "char_weights", F.array(*RATIOS)).alias("weights"),
+        )
 
-        Every document has its three ratio rows; only these hold the carried columns, which would
-        otherwise be repeated for each term.
-        """
-        placed = place_by_key(docs, key, text, carry)
-        no_carry = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry]
-        terms = [
-            tfidf(placed, [key], block, vocabulary, self.options).select(
-                key, *no_carry, (F.col("slot") + offset).alias("slot"), F.col("weight").alias("value")
-            )
-            for block, vocabulary, offset in (
-                (WORD, self.word_vocabulary, 0),
-                (CHAR, self.char_vocabulary, self.n_word),
-            )
-        ]
-        entries = [
-            F.struct(F.lit(self.n_word + self.n_char + i).alias("slot"), F.col(c).alias("value"))
-            for i, c in enumerate(RATIOS)
-        ]
-        ratios = scale_features(placed, "_text", self.scaling, [key, *carry])
-        ratios = ratios.select(key, *carry, F.inline(F.array(*entries)))
-        return terms[0].unionByName(terms[1]).unionByName(ratios)
-
-    def transform(self, docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-        """``key, carry, features`` as sparse vectors, one per document, in a written table.
+    def transform(self, docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+        """``keep, features`` as sparse vectors in a written table, for the passes of a fit.
 
         The vector's stored form is built by native expressions and read back under the vector type,
         so no row passes through Python.
         """
-        rows = self.weights(docs, key, text, carry).groupBy(key).agg(
-            *[F.first(c, ignorenulls=True).alias(c) for c in carry],
-            F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("_entries"),
-        )
+        entries = self.add_entries(docs.select(text, *[c for c in keep if c != text]), text)
         vector = F.struct(
             F.lit(0).cast("tinyint").alias("type"),
             F.lit(self.size).alias("size"),
-            F.col("_entries.slot").alias("indices"),
-            F.col("_entries.value").alias("values"),
+            F.col("slots").alias("indices"),
+            F.col("weights").alias("values"),
         )
-        keep = [key, *carry]
-        schema = StructType([rows.schema[c] for c in keep] + [StructField("features", VectorUDT())])
-        return materialize(rows.select(*keep, vector.alias("features")), "features", schema)
-
-    def save(self, path: str) -> None:
-        self.word_vocabulary.write.parquet(f"{path}/word_vocabulary")
-        self.char_vocabulary.write.parquet(f"{path}/char_vocabulary")
-        spark = self.word_vocabulary.sparkSession
-        rows = [(c, mean, std) for c, (mean, std) in self.scaling.items()]
-        spark.createDataFrame(rows, "ratio string, mean double, std double").coalesce(1).write.parquet(f"{path}/scaling")
+        schema = StructType([docs.schema[c] for c in keep] + [StructField("features", VectorUDT())])
+        return materialize(entries.select(*keep, vector.alias("features")), "features", schema)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for name, block in ((WORD, self.word), (CHAR, self.char)):
+            rows = list(zip(range(len(block.terms)), block.terms, block.idf))
+            stored = spark.createDataFrame(rows, "slot int, term string, idf double")
+            stored.coalesce(1).write.parquet(f"{path}/{name}_vocabulary")
+        scaling = [(c, mean, std) for c, (mean, std) in self.scaling.items()]
+        spark.createDataFrame(scaling, "ratio string, mean double, std double").coalesce(1).write.parquet(f"{path}/scaling")
         spark.createDataFrame([asdict(self.options)], OPTIONS_SCHEMA).coalesce(1).write.json(f"{path}/options")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        def vocabulary(name: str) -> Vocabulary:
+            rows = spark.read.parquet(f"{path}/{name}_vocabulary").orderBy("slot").collect()
+            return Vocabulary([row["term"] for row in rows], [row["idf"] for row in rows])
+
         scaling = {r["ratio"]: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scaling").collect()}
         stored = spark.read.schema(OPTIONS_SCHEMA).json(f"{path}/options").first()
-        return cls(
-            spark.read.parquet(f"{path}/word_vocabulary"),
-            spark.read.parquet(f"{path}/char_vocabulary"),
-            {c: scaling[c] for c in RATIOS},
-            FeatureOptions(stored["max_features"], tuple(stored["word_ngrams"]), tuple(stored["char_ngrams"])),
+        options = FeatureOptions(
+            stored["max_features"], tuple(stored["word_ngrams"]), tuple(stored["char_ngrams"])
         )
+        return cls(vocabulary(WORD), vocabulary(CHAR), {c: scaling[c] for c in RATIOS}, options)
 
 
 OPTIONS_SCHEMA = "max_features long, word_ngrams array<int>, char_ngrams array<int>"
 
 
-def fit_features(docs: DataFrame, key: str, text: str, options: FeatureOptions = FeatureOptions()) -> FeatureModel:
+def fit_features(docs: DataFrame, text: str, options: FeatureOptions = FeatureOptions()) -> FeatureModel:
     return FeatureModel(
-        fit_block(docs, key, text, WORD, options),
-        fit_block(docs, key, text, CHAR, options),
+        fit_vocabulary(docs, text, WORD, options),
+        fit_vocabulary(docs, text, CHAR, options),
         fit_ratio_scaling(docs, text),
         options,
     )
 
 
-def assemble_features(model: FeatureModel, docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-    return model.transform(docs, key, text, carry)
+def assemble_features(model: FeatureModel, docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    return model.transform(docs, text, keep)

@@ -12,16 +12,15 @@ from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langweave.fixed_values import DETECTOR_NAME, SVM_C, SVM_MAX_ITER
 from langweave.functions import scores as sc
 from langweave.functions.text import NormalizeOptions, is_arabizi, normalize_text, script_of_dialect
-from langweave.operators.features import FeatureModel
+from langweave.operators.features import FeatureModel, literal_array
 from langweave.operators.metrics import macro_f1
-from langweave.scratch import small_side
+from langweave.scratch import computed_once, small_side
 
 SVM, SOFTMAX = "svm", "softmax"
 
@@ -38,36 +37,53 @@ class LanguageClassifier:
     parts: list
     labels: list[str]
 
-    def score(self, vectors: DataFrame) -> DataFrame:
-        """Add ``scores`` (SVM margins or softmax probabilities by class) to a table with ``features``."""
-        if self.kind == SOFTMAX:
-            scored = self.parts[0].transform(vectors)
-            return scored.select(*vectors.columns, vector_to_array("probability").alias("scores"))
-        scored = vectors
-        for i, part in enumerate(self.parts):
-            raw, prediction = f"_raw{i}", f"_prediction{i}"
-            part = part.copy({part.rawPredictionCol: raw, part.predictionCol: prediction})
-            scored = part.transform(scored).drop(prediction)
-        margins = F.array(*[vector_to_array(f"_raw{i}")[1] for i in range(len(self.parts))])
-        return scored.select(*vectors.columns, margins.alias("scores"))
-
-    def predict(self, docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-        """``key, carry, scores, pred`` for documents with normalised text."""
-        scored = self.score(self.features.transform(docs, key, text, carry))
-        pred = sc.label_at(sc.argmax(F.col("scores")), self.labels)
-        return scored.select(key, *carry, "scores", pred.alias("pred"))
-
-    def save(self, path: str) -> None:
-        self.features.save(f"{path}/features")
+    def _weights(self) -> list[tuple[list[float], float]]:
+        """Coefficients and intercept per class."""
+        if self.kind == SVM:
+            return [(part.coefficients.toArray().tolist(), part.intercept) for part in self.parts]
+        fitted = self.parts[0]
+        return list(zip(fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()))
+
+    def add_scores(self, df: DataFrame, slots: str = "slots", weights: str = "weights") -> DataFrame:
+        """Add ``scores`` by class from the vector entries of a row: SVM margins, softmax probabilities.
+
+        All classes are linear in the entries, so a row is scored where it is, in a table or a stream.
+        """
+        margins = []
+        for coefficients, intercept in self._weights():
+            by_slot = literal_array(coefficients)
+            products = F.zip_with(slots, weights, lambda i, x: x * F.get(by_slot, i))
+            margins.append(F.aggregate(products, F.lit(float(intercept)), lambda total, x: total + x))
+        if self.kind == SVM:
+            return df.withColumn("scores", F.array(*margins))
+        scored = computed_once(df, "_margins", F.array(*margins))
+        return computed_once(scored, "scores", sc.softmax(F.col("_margins"))).drop("_margins")
+
+    def score_vectors(self, vectors: DataFrame) -> DataFrame:
+        """``scores`` and ``pred`` for a table with assembled ``features``."""
+        entries = vectors.withColumn("_v", F.unwrap_udt("features"))
+        scored = self.add_scores(entries, "_v.indices", "_v.values")
+        return scored.withColumn("pred", self.top_label()).drop("_v")
+
+    def predict(self, df: DataFrame, text: str) -> DataFrame:
+        """Add ``scores`` and ``pred`` to rows with normalised text; no shuffle, no state."""
+        scored = self.add_scores(self.features.add_entries(df, text))
+        return scored.withColumn("pred", self.top_label()).drop("slots", "weights")
+
+    def top_label(self) -> Column:
+        return sc.label_at(sc.argmax(F.col("scores")), self.labels)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.features.save(spark, f"{path}/features")
         for i, part in enumerate(self.parts):
             part.write().overwrite().save(f"{path}/part_{i}")
         rows = [(self.kind, i, label) for i, label in enumerate(self.labels)]
-        spark = self.features.word_vocabulary.sparkSession
-        spark.createDataFrame(rows, "kind string, label_id int, label string").coalesce(1).write.parquet(f"{path}/labels")
+        stored = spark.createDataFrame(rows, "kind string, label_id int, label string")
+        stored.coalesce(1).write.parquet(f"{path}/labels")
 
 
-def save_model(model: LanguageClassifier, path: str) -> None:
-    model.save(path)
+def save_model(spark: SparkSession, model: LanguageClassifier, path: str) -> None:
+    model.save(spark, path)
 
 
 def load_model(spark: SparkSession, path: str) -> LanguageClassifier:
@@ -156,18 +172,19 @@ def compare_models(
 
     Confidence is the top probability; an SVM has none.
     """
-    normalised = phrases.select(key, expected, normalize_text(F.col(text), options).alias("_norm"))
+    normalised = computed_once(
+        phrases.select(key, F.col(expected).alias("expected"), text), "_norm", normalize_text(F.col(text), options)
+    )
     out = None
     for name, model in models.items():
-        predicted = model.predict(normalised, key, "_norm", [expected])
         confidence = F.array_max("scores") if model.kind == SOFTMAX else F.lit(None).cast("double")
-        rows = predicted.select(
+        rows = model.predict(normalised, "_norm").select(
             F.lit(name).alias("model"),
             key,
-            F.col(expected).alias("expected"),
+            "expected",
             "pred",
             confidence.alias("confidence"),
-            (F.col("pred") == F.col(expected)).alias("ok"),
+            (F.col("pred") == F.col("expected")).alias("ok"),
         )
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -183,9 +200,8 @@ def select_best_model(
     """
     scored = None
     for name, model in candidates.items():
-        pred = sc.label_at(sc.argmax(F.col("scores")), model.labels)
-        rows = model.score(valid_vectors.select("features", label)).select(
-            F.lit(name).alias("model"), F.col(label).alias("y"), pred.alias("p")
+        rows = model.score_vectors(valid_vectors.select("features", label)).select(
+            F.lit(name).alias("model"), F.col(label).alias("y"), F.col("pred").alias("p")
         )
         scored = rows if scored is None else scored.unionByName(rows)
     values = macro_f1(scored, by=["model"])
@@ -226,8 +242,6 @@ def detect(model: LanguageClassifier, docs: DataFrame, key: str, text: str) -> D
     """``key`` and the detection record of every raw text."""
     if model.kind != SOFTMAX:
         raise ValueError("detection needs class probabilities")
-    prepared = docs.select(
-        key, is_arabizi(F.col(text)).alias("_arabizi"), normalize_text(F.col(text)).alias("_norm")
-    )
-    scored = model.predict(prepared, key, "_norm", ["_arabizi"])
+    raw = docs.select(key, text, is_arabizi(F.col(text)).alias("_arabizi"))
+    scored = model.predict(computed_once(raw, "_norm", normalize_text(F.col(text))), "_norm")
     return scored.select(key, detection(F.col("scores"), F.col("_arabizi"), model.labels).alias("d")).select(key, "d.*")

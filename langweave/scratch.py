@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,3 +49,12 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` ready to be the small side of a join: broadcast if its counted size allows."""
     table = materialize(df, "small-side")
     return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column through a one-element generator.
+
+    A plain projection would be repeated in every filter and expression built on it; the optimizer
+    does not copy an expression across a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))

@@ -25,14 +25,9 @@ def route_messages(accepted: DataFrame, score: Scorer, labels: Sequence[str]) ->
     return scored.select(*kept, "text_norm", "_d.*").withColumn("prompt_key", prompt_key(F.col("label"), F.col("script")))
 
 
-def classifier_scorer(model: LanguageClassifier, key: str) -> Scorer:
-    """Scores of a fitted classifier. It groups terms by message, so it fits the batches of
-    :func:`stream_detect` but not a plain streaming plan."""
-
-    def score(rows: DataFrame) -> DataFrame:
-        return rows.join(model.predict(rows, key, "text_norm").select(key, "scores"), key)
-
-    return score
+def classifier_scorer(model: LanguageClassifier) -> Scorer:
+    """Scores of a fitted classifier, computed inside each row."""
+    return lambda rows: model.predict(rows, "text_norm").drop("pred")
 
 
 def stream_detect(
