@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
@@ -35,13 +36,17 @@ class FeatureOptions:
     char_ngrams: tuple[int, int] = CHAR_NGRAMS
 
 
-@dataclass(frozen=True)
+@dataclass
 class Vocabulary:
     """Terms in slot order and their idf; at most ``max_features`` of them, so small enough to hold."""
 
     terms: list[str]
     idf: list[float]
 
+    @cached_property
+    def counter(self) -> CountVectorizerModel:
+        return CountVectorizerModel.from_vocabulary(self.terms, "_grams", "_vector")
+
 
 def literal_array(values: Sequence[float]) -> Column:
     """A constant double array; one folded literal however many values."""
@@ -110,8 +115,7 @@ def add_tfidf(df: DataFrame, text: str, block: str, vocabulary: Vocabulary, opti
     if not vocabulary.terms:
         return df.withColumn(slots, F.array().cast("array<int>")).withColumn(weights, F.array().cast("array<double>"))
     grams = block_ngrams(F.coalesce(F.col(text), F.lit("")), block, options)
-    counter = CountVectorizerModel.from_vocabulary(vocabulary.terms, "_grams", "_vector")
-    counted = counter.transform(df.withColumn("_grams", grams))
+    counted = vocabulary.counter.transform(df.withColumn("_grams", grams))
     counted = computed_once(counted, "_counts", F.unwrap_udt("_vector")).drop("_grams", "_vector")
     idf = literal_array(vocabulary.idf)
     raw = F.zip_with("_counts.indices", "_counts.values", lambda i, tf: (1.0 + F.ln(tf)) * F.get(idf, i))

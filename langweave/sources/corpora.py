@@ -33,6 +33,16 @@ def scan_parquet_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores when it has fewer splits than there are cores.
+
+    Regex work is bound by cores, and a small table is often one file in one split. A scan with enough
+    splits comes back as it is, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_multi_split(
     spark: SparkSession, splits: Sequence[str], codes: Sequence[str] = LANGID_CODES
 ) -> DataFrame:

@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = corpora.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
 
 
@@ -516,9 +516,8 @@ def _softmax(spark, sf_dir):
 
 @query
 def train_linear_svm(spark, sf_dir):
-    """Validation report of a freshly fitted SVM."""
-    tables = _tables(spark, sf_dir)
-    return metrics.classification_report(training.predictions(training.fit_svm(tables), tables.valid))
+    """Validation report of the fitted SVM."""
+    return metrics.classification_report(training.predictions(_svm(spark, sf_dir), _tables(spark, sf_dir).valid))
 
 
 @query
