@@ -182,7 +182,7 @@ def is_valid_text(text: Column) -> Column:
     """At least two Arabic or ASCII Latin letters and no more digits than letters; null is invalid."""
     letters = _count_in(text, any_of(LATIN, ARABIC))
     digits = _count_in(text, r"\p{Nd}")
-    return F.coalesce((letters >= 2) & (digits <= letters), F.lit(False))
+    return F.coalesce(letters >= F.greatest(F.lit(2), digits), F.lit(False))
 
 
 def tokenize_ws(text: Column) -> Column:

@@ -15,6 +15,7 @@ from langweave.fixed_values import (
 )
 from langweave.functions.text import prompt_key, strip, strip_answer
 from langweave.operators.lookups import prompt_lookup
+from langweave.scratch import computed_once
 from langweave.sources.corpora import to_json_keeping_nulls
 
 # The part of a generation result that is used.
@@ -30,7 +31,7 @@ def request_text(body: Column) -> Column:
 
 def validate_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Accepted rows with ``text``, and rejected rows with ``status`` and ``error``."""
-    checked = requests.withColumn("text", request_text(F.col(body)))
+    checked = computed_once(requests, "text", request_text(F.col(body)))
     accepted = checked.filter(F.col("text").isNotNull())
     rejected = checked.filter(F.col("text").isNull()).select(
         *requests.columns, F.lit(REJECT_STATUS).alias("status"), F.lit(REJECT_MESSAGE).alias("error")

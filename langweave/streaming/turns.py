@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from langweave.functions.text import is_arabizi, normalize_text, prompt_key
 from langweave.operators.models import LanguageClassifier, detection
 from langweave.operators.turns import validate_requests
+from langweave.scratch import computed_once
 
 # Adds an array column ``scores`` of class probabilities to rows with ``text_norm``.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -19,7 +20,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 def route_messages(accepted: DataFrame, score: Scorer, labels: Sequence[str]) -> DataFrame:
     """Accepted messages with their detection record, prompt key and text; no state, no shuffle of
     its own, so it runs on a batch table and on a stream alike."""
-    prepared = accepted.withColumn("text_norm", normalize_text(F.col("text")))
+    prepared = computed_once(accepted, "text_norm", normalize_text(F.col("text")))
     scored = score(prepared).withColumn("_d", detection(F.col("scores"), is_arabizi(F.col("text")), labels))
     kept = [c for c in accepted.columns if c != "body"]
     return scored.select(*kept, "text_norm", "_d.*").withColumn("prompt_key", prompt_key(F.col("label"), F.col("script")))

@@ -13,7 +13,7 @@ from langweave.functions import text as tx
 from langweave.operators import cleaning, features, lookups, metrics, models, sampling, turns
 from langweave.plans import corpus as corpus_plan
 from langweave.plans import training
-from langweave.scratch import materialize, scratch_path
+from langweave.scratch import computed_once, materialize, scratch_path
 from langweave.sources import corpora
 from langweave.streaming import turns as streaming
 from workloads import derived
@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = corpora.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
+    derived_rows = spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
+    return computed_once(derived_rows.withColumnRenamed("text", "_text"), "text", F.col("_text")).drop("_text")
 
 
 def mixed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,8 @@ def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
-    return spark.sql(derived.TURNS.replace("from conversations", "from {conversations}"), conversations=conversations)
+    rows = spark.sql(derived.TURNS.replace("from conversations", "from {conversations}"), conversations=conversations)
+    return computed_once(rows.withColumnRenamed("text", "_text"), "text", F.col("_text")).drop("_text")
 
 
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +109,13 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratio_scores(rows: DataFrame) -> DataFrame:
     """Class probabilities of the fixed linear scorer over the script ratios, row by row."""
-    rows = rows.withColumn("_r", tx.script_ratios(F.col("text_norm")))
+    rows = computed_once(rows, "_r", tx.script_ratios(F.col("text_norm")))
     margins = [
         F.col("_r.arab_ratio") * a + F.col("_r.latin_ratio") * b + F.col("_r.cs_ratio") * c + F.lit(bias)
         for a, b, c, bias in derived.RATIO_WEIGHTS.values()
     ]
-    rows = rows.withColumn("_z", F.array(*margins))
-    return rows.withColumn("scores", sc.softmax(F.col("_z"))).drop("_r", "_z")
+    rows = computed_once(rows, "_z", F.array(*margins))
+    return computed_once(rows, "scores", sc.softmax(F.col("_z"))).drop("_r", "_z")
 
 
 # ---- sources and sinks ------------------------------------------------------------------------
@@ -207,7 +209,7 @@ def filter_valid_text(spark, sf_dir):
 
 @query
 def filter_nonempty_norm(spark, sf_dir):
-    rows = mixed_raw(spark, sf_dir).withColumn("text_norm", tx.normalize_text(F.col("text_raw")))
+    rows = computed_once(mixed_raw(spark, sf_dir), "text_norm", tx.normalize_text(F.col("text_raw")))
     return cleaning.filter_nonempty_norm(rows).select("doc_id", F.length("text_norm").alias("n_norm"))
 
 
@@ -390,7 +392,7 @@ def tokenize_ws(spark, sf_dir):
 @query
 def script_ratios(spark, sf_dir):
     norm = tx.normalize_text(F.col("text"))
-    rows = mixed(spark, sf_dir).select("doc_id", norm.alias("text_norm"))
+    rows = computed_once(mixed(spark, sf_dir).select("doc_id", "text"), "text_norm", norm)
     ratios = rows.select("doc_id", tx.script_ratios(F.col("text_norm")).alias("r"))
     return ratios.select("doc_id", *[F.round(f"r.{c}", 6).alias(c) for c in features.RATIOS])
 
@@ -591,7 +593,7 @@ def score_map(spark, sf_dir):
 @query
 def detection_record(spark, sf_dir):
     """The detection record for given class scores and the raw text they belong to."""
-    rows = mixed(spark, sf_dir).select("doc_id", "text", tx.normalize_text(F.col("text")).alias("text_norm"))
+    rows = computed_once(mixed(spark, sf_dir), "text_norm", tx.normalize_text(F.col("text")))
     record = models.detection(F.col("scores"), tx.is_arabizi(F.col("text")), LABELS)
     found = ratio_scores(rows).select("doc_id", record.alias("d"))
     return found.select(
@@ -695,7 +697,7 @@ def parse_generation_results(spark, sf_dir):
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_turns(spark, sf_dir)
-    norm = rows.select("turn_id", "text", tx.normalize_text(F.col("text")).alias("text_norm"), "conv_id", "turn")
+    norm = computed_once(rows.select("turn_id", "text"), "text_norm", tx.normalize_text(F.col("text")))
     record = models.detection(F.col("scores"), tx.is_arabizi(F.col("text")), LABELS)
     detections = ratio_scores(norm).select(
         "turn_id", record.alias("d"), turns.rounded_ms(F.length("text") / 30000.0).alias("detect_ms")
