@@ -69,10 +69,12 @@ def _cut_values(df: DataFrame, key: str, group: Column, ranks: Mapping[str, Colu
         small_side(cuts),
         F.col("_group").eqNullSafe(F.col("_cut_group")) & (F.col("_prefix") == F.col("_cut_prefix")),
     )
-    within = Window.partitionBy("_group", "_name").orderBy("_hash", "_key")
+    # Counting per key first keeps a key that is repeated against the contract from piling up in one task.
+    keys = near.groupBy("_group", "_name", "_nth", "_hash", "_key").agg(F.count("*").alias("_rows"))
+    reached = F.sum("_rows").over(Window.partitionBy("_group", "_name").orderBy("_hash", "_key"))
     return (
-        near.withColumn("_position", F.row_number().over(within))
-        .filter(F.col("_position") == F.col("_nth"))
+        keys.withColumn("_reached", reached)
+        .filter((F.col("_reached") - F.col("_rows") < F.col("_nth")) & (F.col("_nth") <= F.col("_reached")))
         .select("_group", "_name", F.col("_hash").alias("_at_hash"), F.col("_key").alias("_at_key"))
     )
 

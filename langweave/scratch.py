@@ -14,6 +14,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS = 100_000
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, named by the session.
 
@@ -24,9 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="langweave-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="langweave-")
+    return _local_folders[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

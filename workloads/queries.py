@@ -39,6 +39,13 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed_once(derived_rows.withColumnRenamed("text", "_text"), "text", F.col("_text")).drop("_text")
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of the mixed rows, read without their texts."""
+    documents = table(spark, sf_dir, "documents")
+    rows = spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
+    return rows.select("doc_id", "label_original")
+
+
 def mixed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).withColumnRenamed("text", "text_raw")
 
@@ -224,7 +231,7 @@ def error_rows(spark, sf_dir):
 
 @query
 def label_encode(spark, sf_dir):
-    return lookups.label_encode(mixed(spark, sf_dir).select("doc_id", "label_original"))
+    return lookups.label_encode(labelled(spark, sf_dir))
 
 
 @query
@@ -302,12 +309,12 @@ def robustness_score(spark, sf_dir):
 
 @query
 def distinct_labels(spark, sf_dir):
-    return lookups.distinct_labels(mixed(spark, sf_dir))
+    return lookups.distinct_labels(labelled(spark, sf_dir))
 
 
 @query
 def class_weights(spark, sf_dir):
-    weights = metrics.class_weights(mixed(spark, sf_dir))
+    weights = metrics.class_weights(labelled(spark, sf_dir))
     return weights.withColumn("weight", F.round("weight", 6))
 
 
