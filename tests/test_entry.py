@@ -2,6 +2,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from workloads.oracles import ORACLES
+from workloads.queries import QUERIES
 from tools.check_oracle import canonical, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -22,12 +24,12 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == FITTED
+    assert set(QUERIES) - set(ORACLES) == FITTED
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, name):
-    got = entry_module.queries()[name](spark, SMALL).toPandas()
-    expected = con.execute(entry_module.oracle_sql()[name]).fetchdf()
+    got = QUERIES[name](spark, SMALL).toPandas()
+    expected = con.execute(ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(expected.columns)
     assert canonical(got) == canonical(expected)
