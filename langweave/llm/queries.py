@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +11,19 @@ from langweave.llm.packing import best_fit_packing
 from langweave.llm.personal_data import KINDS, personal_data, span_list
 from langweave.llm.quality_rules import COUNT_COLUMNS, quality_rules
 from langweave.llm.simhash import simhash_groups
+from langweave.llm.token_files import read_checksums, write_token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    return read_checksums(write_token_files(table(spark, sf_dir, "documents"), vocabulary))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *COUNT_COLUMNS, "base_failed", "kept", F.round("ratio", 6).alias("ratio"))
@@ -48,6 +56,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from langweave.llm.batches import text_rows
 from langweave.llm.columns import unclashed, whole
 from langweave.llm.components import connected_components
 from langweave.scratch import materialize
@@ -69,7 +70,8 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, shingle_words: int = S
             yield pd.DataFrame({"id": frame["id"], "fingerprint": pd.Series(found, dtype="int64")})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")).mapInPandas(
+    texts = text_rows(docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")))
+    return texts.mapInPandas(
         fold, f"id {kind}, fingerprint bigint"
     )
 
