@@ -14,7 +14,8 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,31 +114,35 @@ def best_fit_packing(
     groups = max(1, -(-docs.count() // group_pieces))
     dealt = cut.withColumn("_group", F.pmod("doc_hash", F.lit(groups)).cast("int"))
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's rows are sorted by group; a group is complete when the next one begins.
-        waiting: list[pd.DataFrame] = []
-        for frame in frames:
-            for group, rows in frame.groupby("_group", sort=True):
-                if waiting and waiting[0]["_group"].iat[0] != group:
-                    yield finished(pd.concat(waiting))
+        waiting, current = [], None
+        for batch in batches:
+            groups_of = batch.column("_group").to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(groups_of)) + 1).tolist()] if len(groups_of) else []
+            for start, stop in zip(starts, [*starts[1:], len(groups_of)]):
+                if waiting and groups_of[start] != current:
+                    yield finished(waiting, current)
                     waiting = []
-                waiting.append(rows)
+                current = groups_of[start]
+                waiting.append(batch.slice(start, stop - start))
         if waiting:
-            yield finished(pd.concat(waiting))
+            yield finished(waiting, current)
 
-    def finished(rows: pd.DataFrame) -> pd.DataFrame:
-        placed = pack_group(rows["n_tokens"].tolist(), sizes)
-        group = rows["_group"].iat[0]
-        rows = rows.drop(columns=["_group", "doc_hash"]).reset_index(drop=True)
-        added = pd.DataFrame(placed, columns=["bin_id", "bin_offset", "bin_size", "bin_used"])
-        added["bin_id"] = [f"{group}-{number}" for number in added["bin_id"]]
-        return pd.concat([rows, added], axis=1)
+    def finished(parts: list[pa.RecordBatch], group: int) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).select(["doc_id", "piece", "piece_start", "n_tokens"]).combine_chunks()
+        placed = pack_group(rows.column("n_tokens").to_pylist(), sizes)
+        names, *numbers = zip(*placed)
+        rows = rows.append_column("bin_id", pa.array([f"{group}-{name}" for name in names], pa.string()))
+        for name, values in zip(("bin_offset", "bin_size", "bin_used"), numbers):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows.to_batches()[0]
 
     kind = cut.schema["doc_id"].dataType.simpleString()
     return (
         dealt.repartition(groups, "_group")
         .sortWithinPartitions("_group", F.desc("n_tokens"), "doc_id", "piece")
-        .mapInPandas(
+        .mapInArrow(
             pack,
             f"doc_id {kind}, piece long, piece_start long, n_tokens long, bin_id string, bin_offset long, "
             "bin_size long, bin_used long",

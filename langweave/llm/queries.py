@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from langweave.llm import chat_format
 from langweave.llm.exact_dedup import exact_dedup
 from langweave.llm.packing import best_fit_packing
 from langweave.llm.personal_data import KINDS, personal_data, span_list
@@ -43,6 +44,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation made of control strings goes with the given ones.
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
+    )
+    return chat_format.read_digests(chat_format.written(turns.unionByName(added)))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -61,5 +72,6 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_chat_format": op7_chat_format,
     "op10_personal_data": op10_personal_data,
 }

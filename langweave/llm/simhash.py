@@ -20,7 +20,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +64,14 @@ def text_fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, text: str, doc_id: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``id, fingerprint`` (a signed long) of every row; a null text counts as empty."""
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [text_fingerprint(t, shingle_words) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "fingerprint": pd.Series(found, dtype="int64")})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_fingerprint(t.as_py(), shingle_words) for t in batch.column("text")]
+            yield pa.record_batch([batch.column("id"), pa.array(found, pa.int64())], names=["id", "fingerprint"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = text_rows(docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")))
-    return texts.mapInPandas(
+    return texts.mapInArrow(
         fold, f"id {kind}, fingerprint bigint"
     )
 

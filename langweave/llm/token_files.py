@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -156,33 +155,40 @@ def write_token_files(
     ordered = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     ordered = ordered.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary.value)
         end = np.array([end_id], encoder.dtype).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
         path = f"{folder}/shard-{shard:06d}-{context.attemptNumber()}-{uuid.uuid4().hex}.arrow"
         writer, written = None, 0
-        for frame in frames:
+        for batch in batches:
             if writer is None:
                 system, place = fs.FileSystem.from_uri(path)
                 system.create_dir(os.path.dirname(place), recursive=True)
                 sink = system.open_output_stream(place)
                 writer = TokenFileWriter(sink, encoder.dtype, sequence_length)
             starts, counts = [], []
-            for ids in encoder.encode(frame["text"].tolist()):
+            for ids in encoder.encode(batch.column("text").to_pylist()):
                 writer.append(ids + end)
                 starts.append(written)
                 counts.append(len(ids) // encoder.dtype.itemsize + 1)
                 written += counts[-1]
-            yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "shard": shard, "path": path, "shard_start": starts, "n_tokens": counts}
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    pa.array([shard] * len(starts), pa.int32()),
+                    pa.array([path] * len(starts), pa.string()),
+                    pa.array(starts, pa.int64()),
+                    pa.array(counts, pa.int64()),
+                ],
+                names=["doc_id", "shard", "path", "shard_start", "n_tokens"],
             )
         if writer is not None:
             writer.close()
             sink.close()
 
-    index = text_rows(ordered).mapInPandas(
+    index = text_rows(ordered).mapInArrow(
         write, f"doc_id {kind}, shard int, path string, shard_start long, n_tokens long"
     )
     index = materialize(index, "token-index")
@@ -198,14 +204,15 @@ def read_checksums(index: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the files: the checksum of the ids as little-endian 32-bit integers."""
     kind = index.schema["doc_id"].dataType.simpleString()
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = functools.lru_cache(maxsize=4)(TokenFile)
-        for frame in frames:
-            sums = [
-                zlib.crc32(opened(path).span(start, count).astype("<u4").tobytes())
-                for path, start, count in zip(frame["path"], frame["shard_start"], frame["n_tokens"])
-            ]
-            yield frame[["doc_id", "start", "n_tokens"]].assign(ids_crc32=pd.Series(sums, frame.index, "int64"))
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in ("path", "shard_start", "n_tokens")))
+            sums = [zlib.crc32(opened(p).span(start, count).astype("<u4").tobytes()) for p, start, count in places]
+            columns = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
+            yield pa.record_batch(
+                [*columns, pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
 
     columns = index.select("doc_id", "path", "shard_start", "start", "n_tokens")
-    return columns.mapInPandas(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return columns.mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
