@@ -139,11 +139,14 @@ def example_texts(formatted: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def read_digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from its formatted turns and targets alone: ``conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars``."""
+def read_digests(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Per conversation, from its formatted turns and the targets of its examples alone: ``conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
     fields = [formatted.schema["conv_id"], *DIGEST_FIELDS]
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    targets = expanded.select(F.col("conv_id").alias("_conv"), "example", "target_start", "target_end")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("position") == F.col("example"))
+    read = formatted.drop("target_start", "target_end").join(targets, same, "left").drop("_conv", "example")
+    ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "position")
 
     def finished(conv, state) -> tuple:
         return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from langweave.llm import chat_format
 from langweave.llm.exact_dedup import exact_dedup
+from langweave.llm.html_text import extract_text
 from langweave.llm.packing import best_fit_packing
 from langweave.llm.personal_data import KINDS, personal_data, span_list
+from langweave.llm.pieces import MARKER, PieceModel, decode_pieces, encode_pieces
+from langweave.llm.quality_classifier import classify, score_documents, train
 from langweave.llm.quality_rules import COUNT_COLUMNS, quality_rules
 from langweave.llm.simhash import simhash_groups
 from langweave.llm.token_files import read_checksums, write_token_files
+from langweave.scratch import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +39,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,7 +59,21 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame(
         [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
     )
-    return chat_format.read_digests(chat_format.written(turns.unionByName(added)))
+    formatted = chat_format.written(turns.unionByName(added))
+    return chat_format.read_digests(formatted, materialize(chat_format.examples(formatted), "chat-examples"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = PieceModel.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), model)
+    # A literal marker in a text is decoded as the space it stands for.
+    same = F.col("decoded") == F.translate("text", MARKER, " ")
+    return decode_pieces(encoded, model).select("doc_id", "n_ids", "ids_crc32", same.alias("round_trip"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(score_documents(docs, train(docs, table(spark, sf_dir, "labels"))))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +92,11 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_format": op7_chat_format,
+    "op8_pieces": op8_pieces,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_personal_data": op10_personal_data,
 }
