@@ -1,0 +1,135 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from langweave.llm.components import connected_components
+from langweave.llm.simhash import (
+    blocks_for,
+    filed,
+    keep_first,
+    links_between_components,
+    links_to_centres,
+    pivot_coordinates,
+    simhash_groups,
+    text_fingerprint,
+)
+
+
+def plain_fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    n = min(4, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + n]), 42) for k in range(len(words) - n + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_of(points, limit=4):
+    """Smallest id reachable, by comparing all pairs."""
+    parent = list(range(len(points)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(points)):
+        for j in range(i):
+            if bin(points[i] ^ points[j]).count("1") <= limit:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(points))]
+
+
+def test_equals_brute_force(documents):
+    frame, rows = documents
+    rows = sorted(rows)
+    prints = [plain_fingerprint(t) for _, t in rows]
+    roots = components_of(prints)
+    got = {r.doc_id: r for r in simhash_groups(frame).collect()}
+    assert len(got) == len(rows)
+    for (doc_id, _), fingerprint, root in zip(rows, prints, roots):
+        assert got[doc_id].fingerprint % (1 << 64) == fingerprint
+        assert got[doc_id].component_id == rows[root][0]
+
+
+def balls(seed):
+    """Fingerprints in dense balls, chains and alone."""
+    r = random.Random(seed)
+    points = set()
+    for _ in range(4):
+        centre = r.getrandbits(64)
+        for _ in range(60):
+            points.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))))
+    chain = r.getrandbits(64)
+    for k in range(0, 60, 4):
+        points.add(chain)
+        chain ^= 0b1111 << k
+    points.update(r.getrandbits(64) for _ in range(50))
+    return sorted(points)
+
+
+@pytest.mark.parametrize("blocks", [6, 7])
+def test_links_of_dense_groups_and_chains(spark, blocks):
+    points = balls(blocks)
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    frame = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    frame = frame.select("*", *pivot_coordinates(F.col("fingerprint")))
+    first = links_to_centres(frame, blocks).distinct()
+    label = connected_components(first).withColumnRenamed("node", "fingerprint")
+    labelled = frame.join(label, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    links = first.unionByName(links_between_components(labelled, blocks))
+    component = {r.node: r.component for r in connected_components(links).collect()}
+    roots = components_of(points)
+    groups = {}
+    for p, root in zip(signed, roots):
+        groups.setdefault(root, []).append(p)
+    for members in groups.values():
+        assert {component.get(p, p) for p in members} == {min(members)}
+
+
+def test_every_near_pair_shares_a_file(spark):
+    r = random.Random(1)
+    pairs = []
+    for _ in range(50):
+        a = r.getrandbits(63)
+        pairs.append((a, a ^ sum(1 << b for b in r.sample(range(63), 4))))
+    frame = spark.createDataFrame([(p, k) for k, pair in enumerate(pairs) for p in pair], "fingerprint long, pair int")
+    for blocks in (6, 8):
+        shared = filed(frame, blocks).groupBy("pair", "file", "key").count().filter("count = 2")
+        assert shared.select("pair").distinct().count() == 50
+
+
+def test_blocks_grow_with_the_points():
+    assert blocks_for(10**6) == 6
+    assert blocks_for(10**8) > 6
+    assert blocks_for(10**11) > blocks_for(10**8)
+
+
+def test_long_text_counts_in_blocks():
+    text = " ".join(str(k) for k in np.random.default_rng(0).integers(0, 1000, 40_000))
+    assert text_fingerprint(text) % (1 << 64) == plain_fingerprint(text)
+
+
+def test_awkward_rows(awkward):
+    got = simhash_groups(awkward).collect()
+    assert len(got) == 10
+    empty = [r for r in got if r.doc_id in (0, 1, 2)]
+    assert {(r.fingerprint, r.component_id) for r in empty} == {(0, 0)}
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+    kept = keep_first(awkward.selectExpr("*", "1 as KEPT")).filter("kept").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id in (0, 1, 2, 3, 4)) == [0, 3, 3]
+    assert simhash_groups(awkward.limit(0)).collect() == []
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(300).selectExpr("(id * 7919) % 301 as a", "((id + 1) * 7919) % 301 as b")
+    got = connected_components(edges).collect()
+    assert len(got) == 301 and {r.component for r in got} == {0}
+    assert connected_components(edges.limit(0)).collect() == []
