@@ -42,9 +42,10 @@ class Bins:
         self.room_of: list[tuple[int, int]] = []  # (room left, -bin) of open bins, ascending
 
     def _opened_size(self, length: int) -> int:
-        """The permitted size with the least cost for a token; of the pieces to come, what fits is expected to go in."""
+        """The permitted size with the least cost for a token, expecting it to take pieces of this length, as many as
+        fit and are still to come."""
         fitting = [size for size in self.sizes if size >= length]
-        return min(fitting, key=lambda size: (sequence_cost(size) / min(size, self.to_come), size))
+        return min(fitting, key=lambda size: (sequence_cost(size) / min(size // length * length, self.to_come), size))
 
     def place(self, length: int) -> tuple[int, int]:
         """Bin and offset of the next piece."""

@@ -25,7 +25,10 @@ from langweave.scratch import computed_once
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "check", "gazetteer", "context", "edge")
-SPAN = "array<struct<kind:int,start:int,end:int,value:string,base:boolean>>"
+MATCH = "struct<start:int,end:int,value:string,before:string,after:string>"
+SPAN = "array<struct<kind:int,start:int,end:int,value:string,before:string,after:string,base:boolean>>"
+# Matches folded at a time.
+FOLD_BLOCK = 128
 
 # Formats. Possessive runs and look-behinds keep the search linear in long runs of one character class; they match
 # what the plain forms match: a run that fails from its first character fails from all of them, and after a match the
@@ -41,7 +44,7 @@ LOOSE_PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) |[0-9]{3}[.-])[0
 
 IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 WELL_FORMED = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}$",
     "ip": r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9 .-]{5,12}$",
@@ -63,8 +66,8 @@ COUNTER_CUES = r"version|release|isbn|issn|order|invoice|serial|section|chapter|
 CONTEXT_CHARS = 40
 
 EM_ROUNDS = 40
-# Prior belief on each labeler: the chance of a vote (-1, 0, 1) on personal data, and on anything else. It weighs half
-# as much as the candidates themselves, so that the two classes keep their meaning where one of them is rare.
+# Prior belief on each labeler: the chance of a vote (-1, 0, 1) on personal data, and on anything else. It weighs
+# twice as much as the candidates themselves, so that the two classes keep their meaning where one of them is rare.
 PRIOR = {
     "pattern": ((0.19, 0.01, 0.8), (0.59, 0.01, 0.4)),
     "check": ((0.01, 0.01, 0.98), (0.89, 0.01, 0.1)),
@@ -72,30 +75,63 @@ PRIOR = {
     "context": ((0.05, 0.65, 0.3), (0.2, 0.7, 0.1)),
     "edge": ((0.05, 0.94, 0.01), (0.3, 0.69, 0.01)),
 }
-PRIOR_SHARE = 0.5
+PRIOR_SHARE = 2.0
 FIT_ROUNDS = 400
 ACCEPT = 0.5
 MASKS = {kind: f"<{kind.upper()}>" for kind in KINDS}
 
 
 def located(text: Column, pattern: str) -> Column:
-    """``start, end, value`` of all matches, in code points: the pieces between the matches give the places."""
-    pairs = F.arrays_zip(
-        F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
-    )
-    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    """``start, end, value, before, after`` of all matches, in code points, with some characters on either side.
+
+    The pieces between the matches give the places. Matches are folded in blocks, each from its own start, so that
+    the work stays about linear in their number.
+    """
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    nothing = F.array().cast(f"array<{MATCH}>")
 
     def step(done: Column, pair: Column) -> Column:
         start = done["at"] + F.length(pair["piece"])
-        end = start + F.coalesce(F.length(pair["value"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(
-            end.alias("at"),
-            F.when(pair["value"].isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(span))).alias("spans"),
+        end = start + F.length(pair["value"])
+        before = F.right(pair["piece"], F.lit(CONTEXT_CHARS))
+        after = F.left(pair["next"], F.lit(CONTEXT_CHARS))
+        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), before.alias("before"), after.alias("after"))
+        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+
+    def fold(pairs: Column) -> Column:
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step)
+
+    def placed(blocks: Column) -> Column:
+        begin = F.aggregate(
+            blocks, F.array(F.lit(0)), lambda done, b: F.concat(done, F.array(F.element_at(done, -1) + b["at"]))
+        )
+
+        def shifted(block: Column, at: Column) -> Column:
+            return F.transform(
+                block["spans"],
+                lambda s: F.struct(
+                    (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), *[s[f].alias(f) for f in ("value", "before", "after")]
+                ),
+            )
+
+        return F.flatten(F.zip_with(blocks, F.slice(begin, F.lit(1), F.size(blocks)), shifted))
+
+    def blocked(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(pairs), F.lit(FOLD_BLOCK))
+        return bound(F.transform(starts, lambda k: fold(F.slice(pairs, k, F.lit(FOLD_BLOCK)))), placed)
+
+    def paired(pieces: Column, values: Column) -> Column:
+        return F.arrays_zip(
+            F.slice(pieces, F.lit(1), F.size(values)).alias("piece"),
+            values.alias("value"),
+            F.slice(pieces, F.lit(2), F.size(values)).alias("next"),
         )
 
-    first = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
-    return F.aggregate(pairs, first, step, lambda done: done["spans"])
+    def spans(values: Column) -> Column:
+        pairs = bound(F.split(text, pattern, -1), lambda pieces: paired(pieces, values))
+        return F.when(F.size(values) > 0, bound(pairs, blocked)).otherwise(nothing)
+
+    return bound(values, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -124,9 +160,7 @@ def candidates(text: Column) -> Column:
             base = passes(kind, span["value"]) if strict else F.lit(False)
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"),
-                span["start"].alias("start"),
-                span["end"].alias("end"),
-                span["value"].alias("value"),
+                *[span[f].alias(f) for f in ("start", "end", "value", "before", "after")],
                 base.alias("base"),
             )
 
@@ -151,7 +185,7 @@ def _by_kind(kind: Column, choose) -> Column:
     return value
 
 
-def voted(text: Column, span: Column) -> Column:
+def voted(span: Column) -> Column:
     """The span with its votes (1 for, -1 against, 0 none) and a coarse ``shape``."""
 
     def vote(yes: Column, no: Column) -> Column:
@@ -161,18 +195,9 @@ def voted(text: Column, span: Column) -> Column:
     formed = _by_kind(kind, lambda k: value.rlike(WELL_FORMED[k]))
     valid = _by_kind(kind, lambda k: value.rlike(r"[.)\]] ?[A-Za-z]{2,}$") if k == "email" else passes(k, value))
     listed = _by_kind(kind, lambda k: value.rlike(GAZETTEER[k]))
-    left = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    around = F.lower(
-        F.concat(
-            F.substring(text, left + 1, span["start"] - left),
-            F.lit(" "),
-            F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)),
-        )
-    )
+    around = F.lower(F.concat(span["before"], F.lit(" "), span["after"]))
     cued = _by_kind(kind, lambda k: around.rlike(CUES[k]))
-    before = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(F.lit(""))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
-    glued = before.rlike(r"[\p{L}0-9_/@=]") | after.rlike(r"[\p{L}0-9_/@=]")
+    glued = span["before"].rlike(r"[\p{L}0-9_/@=]$") | span["after"].rlike(r"^[\p{L}0-9_/@=]")
     votes = {
         "pattern": vote(formed, ~formed),
         "check": vote(valid, ~valid),
@@ -206,7 +231,7 @@ def consensus(patterns: Iterable[Row]) -> list[float]:
     belief = {(name, v - 1): (PRIOR[name][0][v], PRIOR[name][1][v]) for name in LABELERS for v in range(3)}
     table, share = dict(belief), 0.5
     posterior: list[float] = []
-    for _ in range(EM_ROUNDS):
+    for _ in range(EM_ROUNDS if patterns else 0):
         posterior = []
         for row in patterns:
             odds = math.log(share / (1 - share))
@@ -298,7 +323,7 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = unclashed(docs, "spans", "_found")
     content = whole(text)
-    votes = bound(candidates(content), lambda c: F.transform(c, lambda s: voted(content, s)))
+    votes = bound(candidates(content), lambda c: F.transform(c, voted))
     found = computed_once(docs, "_found", votes)
     weights = fit_classifier(vote_counts(computed_once(docs.select(text), "_found", votes)).collect())
     spans = F.transform(

@@ -2,7 +2,7 @@
 
 The ids of all documents, each followed by an end id, are written in ascending order of document id. A shard is one
 Arrow IPC file: the streaming format's batches and a footer for random access. Each row is one sequence: ``ids`` and
-``mask`` are fixed-size lists of ``sequence_length``, the mask 1 on ids and 0 on the padding of a shard's last sequence.
+``mask`` are fixed-size lists of ``sequence_length``, the mask (one bit each) true on ids, false on a shard's padding.
 Every batch but the last holds ``BATCH_SEQUENCES`` rows, so any sequence is found by division, and memory-mapped arrays
 are views of the file.
 
@@ -33,33 +33,57 @@ SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 64
 SHARD_DOCUMENTS = 20_000
 END_ID = 2
-# Encoded words a Python worker keeps; past it the memory is started anew (some 120 MB).
-KEPT_WORDS = 500_000
+# Encoded words a Python worker keeps; past it the memory is started anew (some 200 MB).
+KEPT_WORDS = 1_000_000
+
+
+class KnownWords(dict):
+    """Ids of words, as little-endian bytes; a word it does not know is encoded when it is asked for.
+
+    A full stop or comma after a letter, and the case of ASCII words, are taken off first where that is what the
+    tokenizer does itself: it splits letters from other characters and lowers them.
+    """
+
+    def __init__(self, tokenizer, dtype: np.dtype, splits_ends: bool, lowers: bool):
+        super().__init__()
+        self.tokenizer, self.dtype, self.splits_ends, self.lowers = tokenizer, dtype, splits_ends, lowers
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        if self.splits_ends and len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif self.lowers and word.isascii() and word.isalpha() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """Encodes whole texts by way of their words: the tokenizer splits at white space, so the ids of a text are those
-    of its words, and words recur. Ids come as little-endian bytes of ``dtype``."""
+    of its words, and words recur."""
 
     def __init__(self, tokenizer_json: str):
         # One thread a worker: Spark runs a worker on each core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+        def same(a: list[str], b: list[str]) -> bool:
+            one, other = ([i for t in x for i in tokenizer.encode(t, add_special_tokens=False).ids] for x in (a, b))
+            return one == other
+
+        ends = all(same([f"word{c}", f"\u00e9{c}"], ["word", c, "\u00e9", c]) for c in ".,")
+        lowers = same(["Word", "WORD", "The"], ["word", "word", "the"])
+        self.known = KnownWords(tokenizer, self.dtype, ends, lowers)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         # Space and line feed alone: other characters that Python takes for white space the tokenizer may not.
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for encoding, word in zip(self.tokenizer.encode_batch(new, add_special_tokens=False), new):
-            self.known[word] = np.array(encoding.ids, self.dtype).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -74,7 +98,7 @@ class TokenFileWriter:
         self.length, self.dtype = sequence_length, dtype
         item = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
         self.schema = pa.schema(
-            [("ids", pa.list_(item, sequence_length)), ("mask", pa.list_(pa.uint8(), sequence_length))]
+            [("ids", pa.list_(item, sequence_length)), ("mask", pa.list_(pa.bool_(), sequence_length))]
         )
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting = bytearray()
@@ -89,8 +113,8 @@ class TokenFileWriter:
 
     def _write(self, ids: np.ndarray) -> None:
         rows = -(-len(ids) // self.length)
-        padded, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, np.uint8)
-        padded[: len(ids)], mask[: len(ids)] = ids, 1
+        padded, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, bool)
+        padded[: len(ids)], mask[: len(ids)] = ids, True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -110,15 +134,15 @@ class TokenFile:
         self.length = self.reader.schema.field("ids").type.list_size
         self._batch = functools.lru_cache(maxsize=4)(self._load)
 
-    def _load(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        batch = self.reader.get_batch(number)
-        return tuple(batch.column(k).flatten().to_numpy(zero_copy_only=True) for k in (0, 1))
+    def _load(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        ids, mask = (column.flatten() for column in self.reader.get_batch(number).columns)
+        return ids.to_numpy(zero_copy_only=True), mask
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the i-th sequence."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the i-th sequence, both views."""
         ids, mask = self._batch(i // BATCH_SEQUENCES)
         at = i % BATCH_SEQUENCES * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return ids[at : at + self.length], mask.slice(at, self.length)
 
     def span(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the shard."""
@@ -169,7 +193,8 @@ def write_token_files(
                 sink = system.open_output_stream(place)
                 writer = TokenFileWriter(sink, encoder.dtype, sequence_length)
             starts, counts = [], []
-            for ids in encoder.encode(batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
+                ids = encoder.encode(text)
                 writer.append(ids + end)
                 starts.append(written)
                 counts.append(len(ids) // encoder.dtype.itemsize + 1)

@@ -1,0 +1,116 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+from pyspark.sql import Row
+
+from langweave.llm.personal_data import KINDS, LABELERS, consensus, fit_classifier, masked, personal_data, span_list
+from langweave.llm.queries import op10_personal_data
+
+SMALL = "/root/testdata/sf0.001"
+FORMATS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(part) <= 255 for part in value.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def base(text):
+    return [
+        (kind, m.start(), m.end())
+        for kind in KINDS
+        for m in re.finditer(FORMATS[kind], text or "")
+        if valid(kind, m.group())
+    ]
+
+
+def found(frame, only_base=True):
+    spans = personal_data(frame).select("doc_id", "spans").collect()
+    return {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans if s["base"] or not only_base] for r in spans}
+
+
+def test_base_spans_equal_brute_force(documents, spark):
+    frame, rows = documents
+    got = {r.doc_id: r for r in op10_personal_data(spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        want = base(text)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert got[doc_id].base_sha256 == digest
+        assert [got[doc_id][f"n_{k}"] for k in KINDS] == [sum(w[0] == k for w in want) for k in KINDS]
+        assert set(f"{k}:{a}:{b}" for k, a, b in want) <= set(got[doc_id].spans.split(","))
+
+
+TRICKY = [
+    "a@b.co_x@d.fr a@b.c.d..e @x.y z@-.- é.a@b.co",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255 1.2.3 9.9.9.9.",
+    "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111 12345678901234567890",
+    "+1 (269) 555-3296 4524132264652876 tail +12 +1234567 +1.2.3.4.5.6.7.8.9.0.1.2 ++33 1 23 45 67 89",
+    "😀 x@y.zz 😀 1.1.1.1",
+    "@" * 50 + "a" * 50 + "@b.c" + ".d" * 200,
+]
+
+
+def test_tricky_texts(make):
+    got = found(make(TRICKY))
+    assert [got[k] for k in range(len(TRICKY))] == [base(t) for t in TRICKY]
+
+
+def test_long_runs_take_no_long_search(make):
+    # The plain patterns of the comparison are quadratic on the first two.
+    texts = ["a" * 20_000, "1" * 20_000, "1 " * 60_000, "a@" * 50_000, "1." * 60_000, "+1" + " " * 100_000, "a@b" + ".c" * 60_000]
+    got = found(make(texts))
+    assert [got[k] for k in range(len(texts))] == [base(t) for t in texts]
+
+
+def test_votes_add_what_a_format_misses(make):
+    plain = [f"call +1 ({200 + k}) 555-{1000 + k} or mail u{k}@mail{k}.example.com from 8.8.{k}.1" for k in range(60)]
+    cards = ["pay 4111111111111111 now"] * 20 + [f"number 811111111111{1000 + k} here" for k in range(40)]
+    texts = plain + cards + ["+1 (269) 555-3296 4111111111111111 in one run", "9111111111111119 alone"]
+    got = found(make(texts), only_base=False)
+    kinds = [(k, texts[-2][a:b]) for k, a, b in got[len(texts) - 2]]
+    assert ("card", "4111111111111111") in kinds and ("phone", "+1 (269) 555-3296") in kinds
+    # A number that fails its check is none, however alone it stands.
+    assert got[len(texts) - 1] == [] and all(got[k] == base(texts[k]) for k in range(80, 120))
+
+
+def test_reliabilities_come_from_agreement():
+    def pattern(n, *votes):
+        return Row("kind", *LABELERS, "shape", "n")(2, *votes, 2, n)
+
+    rows = [pattern(100, 1, 1, 1, 0, 0), pattern(80, 1, -1, 1, 0, 0), pattern(30, 1, 1, -1, 0, 0), pattern(5, -1, -1, -1, 0, -1)]
+    likely = consensus(rows)
+    assert likely[0] > 0.9 and likely[2] > 0.5 and likely[1] < 0.3 and likely[3] < 0.1
+    assert fit_classifier([]) == {} and consensus([]) == []
+
+
+def test_masks(make):
+    docs = make(["x a@b.co y 1.1.1.1.", "none", None, "+1 (269) 555-3296"])
+    out = personal_data(docs).select("doc_id", masked("text", F.col("spans")).alias("m"), span_list(F.col("spans")).alias("s"))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert [rows[k].m for k in range(4)] == ["x <EMAIL> y <IP>.", "none", None, "<PHONE>"]
+    assert rows[0].s == "email:2:8,ip:11:18"
+
+
+def test_awkward_rows(awkward):
+    got = personal_data(awkward.selectExpr("*", "1 as SPANS")).collect()
+    assert len(got) == 10 and all(r.spans == [] for r in got)
+    assert personal_data(awkward.limit(0)).collect() == []
