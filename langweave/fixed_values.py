@@ -20,11 +20,16 @@ LANGID_CODES = ("fr", "en")
 
 # --- Fixed values: job settings -------------------------------------------------------------
 SEED = 42
-DIALECT_SAMPLE_SIZE = 100_000
 SPLIT_RATIOS = {"train": 0.70, "valid": 0.15, "test": 0.15}
 MAX_FEATURES = 10_000
 WORD_NGRAMS = (1, 3)
 CHAR_NGRAMS = (2, 4)
+SILVER_CONFIDENCE = 0.60
+CS_RATIO_THRESHOLD = 0.30
+LANGID_MIN_TOKENS = 3
+MIX_MIN_TOKENS = 2
+MIX_LABEL = "MIX"
+GOLD_SAMPLES = 500
 SVM_C = 1.0
 SVM_MAX_ITER = 2000
 
@@ -45,6 +50,8 @@ GENERATOR_NAME = "Qwen3.5-397B-A17B"
 GENERATOR_MODEL = "Qwen/Qwen3.5-397B-A17B"
 TEMPERATURE = 0.4
 MAX_TOKENS = 512
+FAILED_STATUS = 500
+FAILED_MESSAGE = "Erreur serveur"
 REJECT_STATUS = 400
 REJECT_MESSAGE = "Le champ 'text' est requis."
 

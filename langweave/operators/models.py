@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
@@ -55,7 +54,7 @@ class LanguageClassifier:
             products = F.zip_with(slots, weights, lambda i, x: x * F.get(by_slot, i))
             margins.append(F.aggregate(products, F.lit(float(intercept)), lambda total, x: total + x))
         if self.kind == SVM:
-            return df.withColumn("scores", F.array(*margins))
+            return computed_once(df, "scores", F.array(*margins))
         scored = computed_once(df, "_margins", F.array(*margins))
         return computed_once(scored, "scores", sc.softmax(F.col("_margins"))).drop("_margins")
 
@@ -114,7 +113,6 @@ def train_linear_svm(
     features: FeatureModel,
     c: float = SVM_C,
     max_iter: int = SVM_MAX_ITER,
-    parallelism: int = 4,
 ) -> LanguageClassifier:
     """One linear SVM per class against the rest, positives weighted ``n / (k * n_c)``.
 
@@ -143,9 +141,8 @@ def train_linear_svm(
         )
         return svm.fit(rows)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(fit, range(len(labels))))
-    return LanguageClassifier(SVM, features, parts, labels)
+    # One fit at a time: each keeps its own copy of the rows in memory while it lasts.
+    return LanguageClassifier(SVM, features, [fit(index) for index in range(len(labels))], labels)
 
 
 def train_softmax(
@@ -168,26 +165,31 @@ def compare_models(
     expected: str,
     options: NormalizeOptions = NormalizeOptions(),
 ) -> DataFrame:
-    """``model, key, expected, pred, confidence, ok``: each model over the same labelled raw texts.
-
-    Confidence is the top probability; an SVM has none.
+    """``model, key, expected, pred, confidence, ok``: each model over the same labelled raw texts, which are read,
+    normalised and cut into n-grams once. Confidence is the top probability; an SVM has none.
     """
     normalised = computed_once(
         phrases.select(key, F.col(expected).alias("expected"), text), "_norm", normalize_text(F.col(text), options)
     )
-    out = None
-    for name, model in models.items():
-        confidence = F.array_max("scores") if model.kind == SOFTMAX else F.lit(None).cast("double")
-        rows = model.predict(normalised, "_norm").select(
-            F.lit(name).alias("model"),
-            key,
-            "expected",
-            "pred",
-            confidence.alias("confidence"),
-            (F.col("pred") == F.col("expected")).alias("ok"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    shared = next(iter(models.values())).features
+    if any(model.features is not shared for model in models.values()):
+        raise ValueError("the models must share one set of fitted features")
+    scored = score_all(models, shared.add_entries(normalised, "_norm"), "slots", "weights")
+    return scored.select(
+        "model", key, "expected", "pred", "confidence", F.col("pred").eqNullSafe(F.col("expected")).alias("ok")
+    )
+
+
+def score_all(models: Mapping[str, LanguageClassifier], entries: DataFrame, slots: str, weights: str) -> DataFrame:
+    """``entries`` once per model, with ``model``, ``pred`` and ``confidence``: every model scores the row in the same
+    pass over its entries. Confidence is the top probability; an SVM has none."""
+    given, records = entries.columns, []
+    for i, (name, model) in enumerate(models.items()):
+        entries = model.add_scores(entries, slots, weights).withColumnRenamed("scores", f"_scores{i}")
+        top = sc.label_at(sc.argmax(F.col(f"_scores{i}")), model.labels)
+        confidence = F.array_max(f"_scores{i}") if model.kind == SOFTMAX else F.lit(None).cast("double")
+        records.append(F.struct(F.lit(name).alias("model"), top.alias("pred"), confidence.alias("confidence")))
+    return entries.select(*given, F.inline(F.array(*records)))
 
 
 def select_best_model(
@@ -195,18 +197,14 @@ def select_best_model(
 ) -> tuple[str, DataFrame]:
     """Name of the candidate with the highest macro-F1 on the validation vectors, and all values.
 
-    All candidates are scored into one table and judged by one grouped aggregation; ties go to the
-    first name.
+    All candidates score a row in one pass and are judged by one grouped aggregation; ties go to the first name.
     """
-    scored = None
-    for name, model in candidates.items():
-        rows = model.score_vectors(valid_vectors.select("features", label)).select(
-            F.lit(name).alias("model"), F.col(label).alias("y"), F.col("pred").alias("p")
-        )
-        scored = rows if scored is None else scored.unionByName(rows)
+    entries = valid_vectors.select(label, F.unwrap_udt("features").alias("_v"))
+    scored = score_all(candidates, entries, "_v.indices", "_v.values")
+    scored = scored.select("model", F.col(label).alias("y"), F.col("pred").alias("p"))
     values = macro_f1(scored, by=["model"])
     best = values.orderBy(F.desc("macro_f1"), "model").first()["model"]
-    return best, values
+    return best, values.withColumn("best", F.col("model") == best)
 
 
 def score_linear(features: DataFrame, weights: DataFrame, intercepts: Mapping[str, float], key: str) -> DataFrame:

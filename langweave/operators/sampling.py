@@ -1,7 +1,8 @@
 """Seeded exact samples, splits and ranks.
 
 Rows are ordered by ``md5(key:seed)`` with the key as tie-break, the same on every engine and for
-every partitioning. Keys must be unique and not null.
+every partitioning. Keys must be unique and not null; a null key, and a repeated one where that would change the
+number of rows, is an error, not a loss.
 
 No operator sends a whole label or source through one task. Rows are counted per hash prefix (a
 partial aggregation of at most 16**4 prefixes per group), which gives the rank at which each prefix
@@ -28,7 +29,8 @@ def order_hash(key: Column, seed: int = SEED) -> Column:
 
 def _keyed(df: DataFrame, key: str, group: Column, seed: int) -> DataFrame:
     hashed = df.select(group.alias("_group"), F.col(key).alias("_key"))
-    hashed = hashed.withColumn("_hash", order_hash(F.col("_key"), seed))
+    known = F.coalesce(order_hash(F.col("_key"), seed), F.raise_error(F.lit("null key in a seeded order")))
+    hashed = hashed.withColumn("_hash", known)
     return hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
 
 
@@ -46,7 +48,8 @@ def _prefix_counts(keyed: DataFrame) -> DataFrame:
 
 
 def _cut_values(df: DataFrame, key: str, group: Column, ranks: Mapping[str, Column], seed: int) -> DataFrame:
-    """The (hash, key) found at each named rank of every group; a rank of 0 gives no row.
+    """The (hash, key) found at each named rank of every group, and how many rows it reaches beyond the rank (none
+    unless the key is repeated); a rank of 0 gives no row.
 
     ``ranks`` are expressions over ``_size``, the number of rows of the group.
     """
@@ -75,7 +78,13 @@ def _cut_values(df: DataFrame, key: str, group: Column, ranks: Mapping[str, Colu
     return (
         keys.withColumn("_reached", reached)
         .filter((F.col("_reached") - F.col("_rows") < F.col("_nth")) & (F.col("_nth") <= F.col("_reached")))
-        .select("_group", "_name", F.col("_hash").alias("_at_hash"), F.col("_key").alias("_at_key"))
+        .select(
+            "_group",
+            "_name",
+            F.col("_hash").alias("_at_hash"),
+            F.col("_key").alias("_at_key"),
+            (F.col("_reached") - F.col("_nth")).alias("_beyond"),
+        )
     )
 
 
@@ -87,13 +96,16 @@ def _up_to(hash_: Column, key: Column, at_hash: Column, at_key: Column) -> Colum
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
     """Exactly ``n`` rows without replacement when the table is larger, else the table itself.
 
-    Two small aggregations find the hash value of the n-th row; the sample is then a plain filter.
+    Two small aggregations find the hash value of the n-th row; the sample is then a plain filter. A key that is
+    repeated at the cut leaves no exact sample and raises.
     """
     if n <= 0:
         return df.limit(0)
     cut = _cut_values(df, key, F.lit(0), {"n": F.when(F.col("_size") > n, F.lit(n))}, seed).first()
     if cut is None:
         return df
+    if cut["_beyond"]:
+        raise ValueError(f"key {cut['_at_key']!r} is repeated at the cut: no sample of exactly {n} rows")
     at_hash, at_key = F.lit(cut["_at_hash"]), F.lit(cut["_at_key"])
     return df.filter(_up_to(order_hash(F.col(key), seed), F.col(key), at_hash, at_key))
 
@@ -130,13 +142,38 @@ def stratified_split(
     return joined.select(*[df[c] for c in df.columns], split.alias("split"))
 
 
+def exact_per_group(df: DataFrame, key: str, group: str, rows: Column, seed: int = SEED) -> DataFrame:
+    """The first rows of every group in the seeded order, as many as ``rows`` says (an expression over ``_size``, the
+    group's rows, ``_total``, those of all, and ``_least``, those of the smallest). Null groups are left out.
+
+    Like the split, this compares rows with a cut value per group and shuffles none.
+    """
+    known = df.filter(F.col(group).isNotNull())
+    sizes = known.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size")).collect()  # one row a group
+    facts = [(r["_of"], r["_size"], sum(x["_size"] for x in sizes), min(x["_size"] for x in sizes)) for r in sizes]
+    if not facts:
+        return known
+    kind = df.schema[group].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame(facts, f"_of {kind}, _size long, _total long, _least long")
+    counts = {r["_of"]: r["_rows"] for r in wanted.select("_of", rows.cast("long").alias("_rows")).collect()}
+    rank = F.lit(0)
+    for value, count in counts.items():
+        rank = F.when(F.col("_group") == value, F.lit(count)).otherwise(rank)
+    cuts = _cut_values(known, key, F.col(group), {"n": F.least(rank, F.col("_size"))}, seed)
+    side = small_side(cuts.select(F.col("_group").alias("_of"), "_at_hash", "_at_key"))
+    joined = known.join(side, F.col(group) == F.col("_of"))
+    inside = _up_to(order_hash(F.col(key), seed), F.col(key), F.col("_at_hash"), F.col("_at_key"))
+    return joined.filter(inside).select(*[known[c] for c in df.columns])
+
+
 def seeded_position(df: DataFrame, key: str, out: str = "position", seed: int = SEED) -> DataFrame:
     """Add the 0-based position of every row in the seeded order.
 
     One shuffle on the hash prefix serves both the join with the prefix starts and the ranking within
     the prefix; md5 spreads the prefixes evenly.
     """
-    keyed = df.withColumn("_hash", order_hash(F.col(key), seed))
+    hash_ = F.coalesce(order_hash(F.col(key), seed), F.raise_error(F.lit("null key in a seeded order")))
+    keyed = df.withColumn("_hash", hash_)
     keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
     starts = _prefix_counts(_keyed(df, key, F.lit(0), seed)).select("_prefix", "_before")
     within = Window.partitionBy("_prefix").orderBy("_hash", key)

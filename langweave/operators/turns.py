@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langweave.fixed_values import (
+    FAILED_MESSAGE,
+    FAILED_STATUS,
     GENERATOR_MODEL,
     GENERATOR_NAME,
     MAX_TOKENS,
@@ -29,16 +33,28 @@ def request_text(body: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
 
-def validate_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Accepted rows with ``text``, and rejected rows with ``status`` and ``error``."""
-    checked = computed_once(requests, "text", request_text(F.col(body)))
+def check_requests(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Requests with their ``text``, null where it is missing.
+
+    A body that names a key twice is not JSON here and is rejected; a lenient parser would take the last one.
+    """
+    return computed_once(requests, "text", request_text(F.col(body)))
+
+
+def split_checked(checked: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows with ``text``, and the ``columns`` of rejected rows with ``status`` and ``error``."""
     accepted = checked.filter(F.col("text").isNotNull())
     rejected = checked.filter(F.col("text").isNull()).select(
-        *requests.columns, F.lit(REJECT_STATUS).alias("status"), F.lit(REJECT_MESSAGE).alias("error")
+        *columns, F.lit(REJECT_STATUS).alias("status"), F.lit(REJECT_MESSAGE).alias("error")
     )
     return accepted, rejected
 
 
+def validate_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected requests."""
+    return split_checked(check_requests(requests, body), requests.columns)
+
+
 def build_generation_requests(
     turns: DataFrame,
     key: str,
@@ -83,9 +99,14 @@ def parse_generation_results(results: DataFrame, key: str, body: str = "body") -
     )
 
 
-def assemble_turns(detections: DataFrame, generations: DataFrame, key: str) -> DataFrame:
-    """``key`` and the nested response record of every turn with both halves."""
-    joined = detections.join(generations, key)
+def assemble_turns(detections: DataFrame, generations: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``key`` and the nested response record of every answered turn, and the turns without a generation or with a
+    null answer, with ``status`` and ``error``."""
+    both = detections.join(generations, key, "left")
+    joined = both.filter(F.col("answer").isNotNull())
+    failed = both.filter(F.col("answer").isNull()).select(
+        key, F.lit(FAILED_STATUS).alias("status"), F.lit(FAILED_MESSAGE).alias("error")
+    )
     response = F.struct(
         "answer",
         "label",
@@ -96,7 +117,7 @@ def assemble_turns(detections: DataFrame, generations: DataFrame, key: str) -> D
         "script",
         "prompt_key",
     )
-    return joined.select(key, response.alias("response"))
+    return joined.select(key, response.alias("response")), failed
 
 
 def emit_responses(turns: DataFrame, key: str) -> DataFrame:

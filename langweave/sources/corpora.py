@@ -33,16 +33,6 @@ def scan_parquet_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan over all cores when it has fewer splits than there are cores.
-
-    Regex work is bound by cores, and a small table is often one file in one split. A scan with enough
-    splits comes back as it is, unshuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def scan_multi_split(
     spark: SparkSession, splits: Sequence[str], codes: Sequence[str] = LANGID_CODES
 ) -> DataFrame:
@@ -54,7 +44,8 @@ def scan_csv_optional(spark: SparkSession, path: str, columns: Sequence[str]) ->
     """A header CSV, or no rows when the file is missing.
 
     The columns are those of the file; ``columns`` names them for the missing case only. All values
-    are strings, so no inference pass over the file is needed.
+    are strings, so no inference pass over the file is needed. A record may span lines, so one file is
+    read by one task: store a large corpus as a folder of files.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from langweave.functions.text import is_arabizi, normalize_text, prompt_key
 from langweave.operators.models import LanguageClassifier, detection
-from langweave.operators.turns import validate_requests
+from langweave.operators.turns import check_requests, split_checked
 from langweave.scratch import computed_once
 
 # Adds an array column ``scores`` of class probabilities to rows with ``text_norm``.
@@ -42,15 +43,20 @@ def stream_detect(
 ) -> StreamingQuery:
     """Start a query that routes the accepted requests and writes the rejected ones elsewhere.
 
-    Each micro-batch overwrites folders named by its batch id, so a batch repeated after a failure
-    replaces its own output: every request appears exactly once.
+    A micro-batch is read and checked once and kept while both parts are written. Each overwrites folders
+    named by its checkpoint and batch id, so a batch repeated after a failure replaces its own output:
+    every request appears exactly once, and a query with another checkpoint overwrites nothing. How much
+    a batch takes is set on the source (``maxFilesPerTrigger``).
     """
+    run = f"run={hashlib.md5(checkpoint.encode()).hexdigest()}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = validate_requests(batch, body)
+        checked = check_requests(batch, body).persist()
+        accepted, rejected = split_checked(checked, batch.columns)
         routed = route_messages(accepted, score, labels)
-        routed.write.mode("overwrite").parquet(f"{accepted_path}/batch_id={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+        routed.write.mode("overwrite").parquet(f"{accepted_path}/{run}/batch_id={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{rejected_path}/{run}/batch_id={batch_id}")
+        checked.unpersist()
 
     return (
         requests.writeStream.foreachBatch(write_batch)

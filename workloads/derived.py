@@ -2,8 +2,8 @@
 
 The given texts hold no Arabic, URLs or hashtags, so whole texts are rewritten: German ones into
 Arabic letters (standing for MSA), Spanish ones into arabizi and mixed script (dialect), half of the
-French and English ones get a URL, a mention, a hashtag and an emoji, some texts become digits only, a
-bare URL or null.
+French and English ones get a URL, a mention, a hashtag and an emoji, some texts become digits only or a
+bare URL, and rows with a null text are added.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ MIXED = f"""
 select doc_id, lang, source,
   case lang when 'de' then 'AR_MSA' when 'es' then 'AR_DAR' else upper(lang) end as label_original,
   case
-    when doc_id % 25 = 8 then null
     when doc_id % 10 = 4 then translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '01234567890123456789012345')
     when doc_id % 20 = 6 then concat('http://ex.ma/', replace(replace(text, ' ', ''), chr(10), ''))
     when lang = 'de' then {in_arabic('text')}
@@ -39,6 +38,9 @@ select doc_id, lang, source,
                 ' #tag\u2003\U0001f44d\U0001f3fd ok ')
   end as text
 from documents
+union all
+select -1 - doc_id, lang, source, case lang when 'de' then 'AR_MSA' when 'es' then 'AR_DAR' else upper(lang) end, null
+from documents where doc_id % 25 = 8
 """
 
 TURNS = f"""
@@ -48,6 +50,7 @@ select concat({as_text('conv_id')}, '-', {as_text('turn')}) as turn_id, conv_id,
 from conversations
 """
 
+EMBEDDING_SIZE = 64
 # Fixed weights of a linear scorer over the three script ratios: label -> (arab, latin, cs, intercept).
 RATIO_WEIGHTS = {
     "AR_DAR": (0.5, 1.0, 4.0, -0.25),

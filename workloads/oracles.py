@@ -6,24 +6,38 @@ import re
 
 from langweave.fixed_values import (
     ARABIZI_DIGITS,
+    CS_RATIO_THRESHOLD,
     DETECTOR_NAME,
+    FAILED_MESSAGE,
+    FAILED_STATUS,
     GENERATOR_MODEL,
     GENERATOR_NAME,
+    GOLD_SAMPLES,
     LABEL_NAMES,
     LABELS,
+    LANGID_MIN_TOKENS,
     MAX_FEATURES,
     MAX_TOKENS,
+    MIX_MIN_TOKENS,
     REJECT_MESSAGE,
     REJECT_STATUS,
+    SILVER_CONFIDENCE,
     SYSTEM_PROMPTS,
     TEMPERATURE,
 )
-from langweave.functions import text as tx
-from langweave.functions.text import EMOJI_PATTERN, MAPPED_DIGITS, WORD
-from workloads.derived import MIXED, RATIO_WEIGHTS, TURNS
+from workloads.derived import EMBEDDING_SIZE, MIXED, RATIO_WEIGHTS, TURNS
 
-# The inside of each character class.
-WS, LATIN, ARABIC, HARAKAT = (tx.any_of(s)[1:-1] for s in (tx.WHITESPACE, tx.LATIN, tx.ARABIC, tx.HARAKAT))
+# The inside of each character class, stated here once more so that a wrong range in the library shows.
+WS = (
+    r"\x{9}-\x{D}\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+LATIN = "A-Za-z"
+ARABIC = r"\x{600}-\x{6FF}"
+HARAKAT = r"\x{64B}-\x{65F}\x{670}"
+WORD = r"\p{L}\p{N}_"
+MAPPED_DIGITS = "2356789"
+# The derived texts hold one emoji, with a skin tone; test_text covers the other ranges.
+EMOJI_IN_TEXTS = r"\x{1F44D}[\x{1F3FB}-\x{1F3FF}]?"
 
 
 def q(text: str) -> str:
@@ -153,22 +167,33 @@ UNIFIED_CTE = f"""unified as materialized (
     select concat('nadi_', {position('doc_id')} - 1), text, label_original, 'NADI2022' from mixed where label_original = 'AR_MSA')
   where text_raw is not null)"""
 
-PREDS_CTE = f"""preds as materialized (
-  select vec_id, {LABEL_LIST}[(label % 4) + 1] as y,
-    {LABEL_LIST}[list_position(embedding[1:4], list_max(embedding[1:4]))] as p,
-    {LABEL_LIST}[list_position(embedding[5:8], list_max(embedding[5:8]))] as p2
-  from embeddings)"""
+
+
+def folded(first: int, last: int) -> str:
+    """Four class scores from a stretch of the embedding, every fourth value added in order."""
+    sums = (" + ".join(f"embedding[{i + 1}]::double" for i in range(first + k, last, 4)) for k in range(4))
+    return "[" + ", ".join(sums) + "]"
+
+
+HALF = EMBEDDING_SIZE // 2
+PREDS_CTE = f"""halves as materialized (
+  select vec_id, label, {folded(0, HALF)} as a, {folded(HALF, 2 * HALF)} as b from embeddings),
+predicted as (
+  select vec_id, {LABEL_LIST}[(label % 4) + 1] as y, {LABEL_LIST}[list_position(a, list_max(a))] as p,
+    {LABEL_LIST}[list_position(b, list_max(b))] as p2 from halves),
+preds as materialized (
+  select * from predicted union all select -1 - vec_id, y, null, null from predicted where vec_id % 50 = 7)"""
 
 CLASS_CTE = """classes as (
   select label, sum(tp) as tp, sum(t) as support, sum(pr) as predicted from (
-    select y as label, 1 as t, 0 as pr, (y = p)::int as tp from preds
-    union all select p, 0, 1, 0 from preds) group by label),
+    select y as label, 1 as t, 0 as pr, coalesce(y = p, false)::int as tp from preds
+    union all select p, 0, 1, 0 from preds where p is not null) group by label),
 scores as (
   select label, coalesce(tp / nullif(predicted, 0), 0.0) as precision, coalesce(tp / nullif(support, 0), 0.0) as recall,
     coalesce(2 * tp / nullif(predicted + support, 0), 0.0) as f1, support::bigint as support, tp
   from classes)"""
 
-SOFTMAX_CTE = """z as (select vec_id, embedding[1:4]::double[] as z from embeddings),
+SOFTMAX_CTE = f"""z as (select vec_id, {folded(0, EMBEDDING_SIZE)} as z from embeddings),
 long as (select vec_id, unnest([0, 1, 2, 3]) as class_id, unnest(z) as z, list_max(z) as top from z),
 probs as (
   select vec_id, class_id, exp(z - top) / sum(exp(z - top)) over (partition by vec_id) as p from long)"""
@@ -245,11 +270,12 @@ def renamed(ctes: str, prefix: str) -> str:
 # ---- chat tables ------------------------------------------------------------------------------
 
 REQUESTS_CTE = """requests as materialized (
-  select turn_id, case (conv_id * 7 + turn) % 11
+  select turn_id, json_object('text', ' ' || text || chr(10))::varchar as body from turns
+  union all
+  select turn_id || '-faulty', case (conv_id * 7 + turn) % 11
     when 0 then '{"text":"  "}' when 1 then '{}' when 2 then '{"text":null}' when 3 then 'not json ' || text
-    when 4 then '{"text":' || conv_id || '}' when 5 then '[' || conv_id || ']'
-    else json_object('text', ' ' || text || chr(10))::varchar end as body
-  from turns)"""
+    when 4 then '{"text":' || conv_id || '}' else '[' || conv_id || ']' end
+  from turns where (conv_id * 7 + turn) % 11 <= 5)"""
 
 ACCEPTED_CTE = f"""checked as materialized (
   select turn_id, nullif({strip('t')}, '') as text from (
@@ -267,6 +293,55 @@ assembled as (
   from detected)"""
 
 
+# ---- fitted models ----------------------------------------------------------------------------
+
+# No fit in SQL: these give what must hold for any weights.
+UCORPUS_CTE = f"""ucleaned as materialized (
+  select id, label_original, text_norm from (
+    select id, label_original, {normalize_text('text_raw')} as text_norm from unified where {is_valid('text_raw')})
+  where length(text_norm) > 0),
+ucorpus as materialized ({split_sql('ucleaned', key='id')})"""
+
+SUPPORTS = "select label_original as label, count(*) as support, true as passes from ucorpus where split = 'valid' group by 1"
+
+# ---- silver labels ----------------------------------------------------------------------------
+
+
+def tokens_with(t: str, chars: str) -> str:
+    return f"len(list_filter({tokens(t)}, lambda x: regexp_matches(x, '[{chars}]')))"
+
+
+SILVER_CTE = f"""scripted as materialized (
+  select doc_id, label_original, text, text_norm, {is_arabizi('text')} as izi, len({tokens('text_norm')}) as n_tokens,
+    {tokens_with('text_norm', ARABIC)} as n_arab, {tokens_with('text_norm', LATIN)} as n_latin from (
+    select doc_id, label_original, text, {normalize_text('text')} as text_norm
+    from mixed where text is not null and {is_valid('text')})
+  where length(text_norm) > 0),
+shares as (
+  select *, coalesce(n_arab / nullif(n_tokens, 0), 0.0) as arab, coalesce(n_latin / nullif(n_tokens, 0), 0.0) as latin
+  from scripted),
+mixes as (
+  select *, n_arab >= {MIX_MIN_TOKENS} and n_latin >= {MIX_MIN_TOKENS} and least(arab, latin) >= {CS_RATIO_THRESHOLD} as mix
+  from shares),
+silver as materialized (
+  select doc_id, text, text_norm, case when mix then 'MIX'
+      when label_original in ('AR_DAR', 'AR_MSA') and arab > latin then label_original
+      when label_original in ('AR_DAR', 'AR_MSA') and izi then 'AR_DAR'
+      when label_original not in ('AR_DAR', 'AR_MSA') and latin > arab and n_tokens >= {LANGID_MIN_TOKENS}
+      then label_original end as silver_label,
+    case when mix then 2 * least(arab, latin) else greatest(arab, latin) end as confidence
+  from mixes)"""
+SILVER_ROWS = """select doc_id, coalesce(silver_label, '(none)') as silver_label, round(confidence, 6) as confidence from silver"""
+
+
+def per_group(rows: str, wanted: str) -> str:
+    """The first rows of each label in the seeded order; ``wanted`` is over n (its rows), total and smallest."""
+    return f"""select * from (
+      select *, min(n) over () as smallest from (
+        select *, {position('doc_id', 'label_original')} as r, count(*) over (partition by label_original) as n,
+          count(*) over () as total from {rows})) where r <= {wanted}"""
+
+
 def _on_mixed(expression: str) -> str:
     return with_(MIXED_CTE) + f"select doc_id, {expression} as out from mixed"
 
@@ -277,6 +352,47 @@ def _weight_expr(i: int) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "train_linear_svm": with_(MIXED_CTE, UNIFIED_CTE, UCORPUS_CTE) + SUPPORTS,
+    "train_softmax": with_(MIXED_CTE, UNIFIED_CTE, UCORPUS_CTE) + SUPPORTS,
+    "select_best_model": "select model, 1::bigint as n_best, true as best_is_max from "
+    "(values ('reg=0.01'), ('reg=0.001'), ('reg=0.0001')) as candidates(model)",
+    "save_model": with_(
+        MIXED_CTE,
+        UNIFIED_CTE,
+        UCORPUS_CTE,
+        "cleaned as materialized (select id as doc_id, text_norm from ucorpus where split = 'train')",
+        WORD_TERMS,
+    )
+    + f"""select 'svm' as kind, (row_number() over (order by label) - 1)::int as label_id, label,
+      (select least({MAX_FEATURES}, count(distinct term)) from per_doc) as n_word_terms
+      from (select distinct label_original as label from ucorpus where split = 'train')""",
+    "load_model": with_(MIXED_CTE, UNIFIED_CTE, UCORPUS_CTE) + "select id, true as same from ucorpus where split = 'valid'",
+    "detect": with_(TURNS_CTE)
+    + f"""select turn_id, {is_arabizi('text')}::int as arabizi, 1.0::double as score_sum, true as label_is_top,
+      true as script_follows from turns""",
+    "compare_models": with_(MIXED_CTE)
+    + """select model, doc_id, label_original as expected, true as consistent
+      from mixed, (values ('svm'), ('softmax')) as models(model) where text is not null""",
+    "dialect_msa_classifier": with_(
+        MIXED_CTE, CLEANED_CTE, SPLIT_CTE, f"arabic as (select *, {ratio('text_norm', ARABIC)} as arab from corpus)"
+    )
+    + """select label_original as label, count(*) as support, true as passes from arabic
+      where split = 'valid' and arab > 0 and label_original in ('AR_DAR', 'AR_MSA') group by 1""",
+    "silver_labels": with_(MIXED_CTE, SILVER_CTE) + SILVER_ROWS,
+    "silver_filter": with_(MIXED_CTE, SILVER_CTE)
+    + f"{SILVER_ROWS} where silver_label is not null and confidence >= {SILVER_CONFIDENCE}",
+    "gold_sample": with_(MIXED_CTE)
+    + f"select doc_id, label_original, md5(text) as h from ({per_group('mixed', f'ceil(n * {GOLD_SAMPLES} / total)')})",
+    "ingest_gold": with_(MIXED_CTE)
+    + "select doc_id, label_original as gold_label, md5(text) as h from mixed where doc_id % 3 = 0",
+    "rebalance_classes": with_(MIXED_CTE)
+    + f"select doc_id, label_original, md5(text) as h from ({per_group('mixed', 'smallest')})",
+    "postprocess_predictions": with_(
+        MIXED_CTE, SILVER_CTE, ratio_detection("(select doc_id, text, text_norm, silver_label from silver)", "doc_id, silver_label")
+    )
+    + f"""select doc_id, d_label as pred, confidence,
+      case when confidence >= {SILVER_CONFIDENCE} then d_label else coalesce(silver_label, d_label) end as final_label
+      from detected""",
     "scan_parquet_corpus": "select doc_id, lang, length(text)::int as n_text from documents",
     "scan_csv_optional": with_(MIXED_CTE)
     + "select doc_id, label_original as label, length(text)::int as n_text, md5(text) as h from mixed",
@@ -296,7 +412,7 @@ ORACLES: dict[str, str] = {
     "filter_valid_text": with_(MIXED_CTE) + f"select doc_id from mixed where {is_valid('text')}",
     "filter_nonempty_norm": with_(MIXED_CTE)
     + f"""select * from (select doc_id, length({normalize_text('text')})::int as n_norm from mixed) where n_norm > 0""",
-    "error_rows": with_(PREDS_CTE) + "select vec_id, y, p, '✗' as mark from preds where y <> p",
+    "error_rows": with_(PREDS_CTE) + "select vec_id, y, p, '✗' as mark from preds where y is distinct from p",
     "label_encode": with_(MIXED_CTE)
     + """select doc_id, label_original, (d.r - 1)::int as label_id from mixed join
       (select label_original as l, row_number() over (order by label_original) as r
@@ -321,7 +437,7 @@ ORACLES: dict[str, str] = {
     "confusion_matrix": with_(PREDS_CTE)
     + "select y, " + ", ".join(f"count(*) filter (where p = {q(x)}) as {q(x).replace(chr(39), chr(34))}" for x in LABELS)
     + " from preds group by y",
-    "accuracy": with_(PREDS_CTE) + "select round(avg((y = p)::int), 6) as accuracy from preds",
+    "accuracy": with_(PREDS_CTE) + "select round(avg(coalesce(y = p, false)::int), 6) as accuracy from preds",
     "macro_f1": with_(PREDS_CTE, CLASS_CTE) + "select round(avg(f1), 6) as macro_f1 from scores",
     "classification_report": with_(PREDS_CTE, CLASS_CTE)
     + """select label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from scores
@@ -346,8 +462,8 @@ ORACLES: dict[str, str] = {
     "vocab_topk": with_(MIXED_CTE, CLEANED_CTE, WORD_TERMS)
     + f"""select term, sum(tf)::bigint as total_tf, count(*) as df from per_doc group by term
       order by total_tf desc, term limit {MAX_FEATURES}""",
-    "argmax_label": f"""select vec_id, {LABEL_LIST}[list_position(embedding[1:4], list_max(embedding[1:4]))] as label,
-      round(list_max(embedding[1:4])::double, 6) as score from embeddings""",
+    "argmax_label": with_(f"z as (select vec_id, {folded(0, EMBEDDING_SIZE)} as z from embeddings)")
+    + f"""select vec_id, {LABEL_LIST}[list_position(z, list_max(z))] as label, round(list_max(z), 6) as score from z""",
     "ranked_scores": with_(SOFTMAX_CTE)
     + f"""select vec_id, row_number() over (partition by vec_id order by s desc, class_id)::int as rank,
       {LABEL_LIST}[class_id + 1] as label, s as score from (select vec_id, class_id, round(p, 2) as s from probs)""",
@@ -356,7 +472,7 @@ ORACLES: dict[str, str] = {
     "remove_urls": _on_mixed(remove_urls("text")),
     "remove_mentions": _on_mixed(remove_mentions("text")),
     "remove_hashtags": _on_mixed(gsub("text", f"#[{WORD}]+")),
-    "remove_emojis": _on_mixed(gsub("text", EMOJI_PATTERN)),
+    "remove_emojis": _on_mixed(gsub("text", EMOJI_IN_TEXTS)),
     "lowercase_text": _on_mixed("lower(text)"),
     "normalize_arabizi": _on_mixed(normalize_arabizi("text")),
     "normalize_arabic": _on_mixed(normalize_arabic("text")),
@@ -448,7 +564,9 @@ ORACLES: dict[str, str] = {
     + f"select turn_id, {strip('text')} as answer, {q(GENERATOR_NAME)} as generator_name from turns",
     "assemble_turns": with_(TURNS_CTE, ASSEMBLED_CTE)
     + f"""select turn_id, md5(answer) as answer_hash, label, confidence, score_dialect, detect_ms, generate_ms,
-      {q(DETECTOR_NAME)} as detector, coalesce(script, '(null)') as script, prompt_key from assembled""",
+      {q(DETECTOR_NAME)} as detector, coalesce(script, '(null)') as script, prompt_key, 200 as status from assembled
+      union all select turn_id || '-lost', {q(FAILED_MESSAGE)}, '', 0.0, 0.0, 0.0, 0.0, '', '', '', {FAILED_STATUS}
+      from turns where conv_id % 7 = 3""",
     "turn_timings": """select event_id, round(coalesce(round(value / 1000.0::double * 1000, 1), 0)
       + coalesce(case when event_type <> 'error' then round(value / 7.0::double * 1000, 1) end, 0), 1) as total_ms
       from events""",

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langweave.fixed_values import LABELS
 from langweave.functions import scores as sc
 from langweave.functions import text as tx
-from langweave.operators import cleaning, features, lookups, metrics, models, sampling, turns
+from langweave.operators import cleaning, features, lookups, metrics, models, sampling, turns, weak_labels
 from langweave.plans import corpus as corpus_plan
 from langweave.plans import training
 from langweave.scratch import computed_once, materialize, scratch_path
@@ -33,26 +34,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return corpora.scan_parquet_corpus(spark, f"{sf_dir}/{name}.parquet")
 
 
+def mixed_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed rows as a plain projection: a pass over keys or labels reads no text."""
+    documents = table(spark, sf_dir, "documents")
+    return spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = corpora.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    derived_rows = spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
-    return computed_once(derived_rows.withColumnRenamed("text", "_text"), "text", F.col("_text")).drop("_text")
+    """The mixed rows with their text evaluated once, for operators that look at it several times."""
+    rows = mixed_plain(spark, sf_dir).withColumnRenamed("text", "_text")
+    return computed_once(rows, "text", F.col("_text")).drop("_text")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of the mixed rows, read without their texts."""
-    documents = table(spark, sf_dir, "documents")
-    rows = spark.sql(derived.MIXED.replace("from documents", "from {documents}"), documents=documents)
-    return rows.select("doc_id", "label_original")
+    return mixed_plain(spark, sf_dir).select("doc_id", "label_original")
 
 
 def mixed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).withColumnRenamed("text", "text_raw")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def keyed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_plain(spark, sf_dir).withColumnRenamed("text", "text_raw")
+
+
+def sources(rows: DataFrame) -> dict[str, DataFrame]:
     """The three raw sources: dialect, language-id (all of it, wanted languages kept), MSA."""
-    rows = mixed(spark, sf_dir)
     return {
         "dialect": rows.filter(F.col("label_original") == "AR_DAR").select("doc_id", "text"),
         "langid": corpora.filter_langs(rows.select("doc_id", "text", F.col("lang").alias("labels"))),
@@ -63,7 +71,7 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_plan.unify(**sources(spark, sf_dir), key="doc_id")
+    return corpus_plan.unify(**sources(mixed_plain(spark, sf_dir)), key="doc_id")
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,20 +84,34 @@ def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_split(cleaned(spark, sf_dir), "doc_id", "label_original")
 
 
+def folded(first: int, last: int) -> Column:
+    """Four class scores from the values ``first`` to ``last`` of an embedding, added in order."""
+
+    def total(k: int) -> Column:
+        values = [F.get("embedding", F.lit(i)).cast("double") for i in range(first + k, last, 4)]
+        return reduce(lambda a, b: a + b, values)
+
+    return F.array(*[total(k) for k in range(4)])
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """True labels and the class of the largest of four scores, from two score vectors."""
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select(
+    """True labels and the class of the largest of four scores, by two models that each fold one half of the vector;
+    some further rows have no prediction."""
+    half = derived.EMBEDDING_SIZE // 2
+    rows = table(spark, sf_dir, "embeddings").select(
         "vec_id",
         sc.label_at(F.col("label") % 4, LABELS).alias("y"),
-        sc.label_at(sc.argmax(F.slice("embedding", 1, 4)), LABELS).alias("p"),
-        sc.label_at(sc.argmax(F.slice("embedding", 5, 4)), LABELS).alias("p2"),
+        sc.label_at(sc.argmax(folded(0, half)), LABELS).alias("p"),
+        sc.label_at(sc.argmax(folded(half, 2 * half)), LABELS).alias("p2"),
     )
+    silent = rows.filter("vec_id % 50 = 7").selectExpr(
+        "-1 - vec_id as vec_id", "y", "cast(null as string) as p", "cast(null as string) as p2"
+    )
+    return rows.unionByName(silent)
 
 
 def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("z"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", folded(0, derived.EMBEDDING_SIZE).alias("z"))
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,19 +121,22 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request bodies of all turns, six in eleven of them faulty in one way each."""
+    """A valid request body for every turn, and for about half of them a further one that is faulty in one way."""
     text = F.concat(F.lit(" "), "text", F.lit("\n"))
     fault = (F.col("conv_id") * 7 + F.col("turn")) % 11
-    body = (
+    faulty = (
         F.when(fault == 0, F.lit('{"text":"  "}'))
         .when(fault == 1, F.lit("{}"))
         .when(fault == 2, F.lit('{"text":null}'))
         .when(fault == 3, F.concat(F.lit("not json "), "text"))
         .when(fault == 4, F.concat(F.lit('{"text":'), F.col("conv_id").cast("string"), F.lit("}")))
         .when(fault == 5, F.concat(F.lit("["), F.col("conv_id").cast("string"), F.lit("]")))
-        .otherwise(F.to_json(F.struct(text.alias("text"))))
     )
-    return chat_turns(spark, sf_dir).select("turn_id", body.alias("body"))
+    rows = chat_turns(spark, sf_dir)
+    valid = rows.select("turn_id", F.to_json(F.struct(text.alias("text"))).alias("body"))
+    return valid.unionByName(
+        rows.filter(fault <= 5).select(F.concat("turn_id", F.lit("-faulty")).alias("turn_id"), faulty.alias("body"))
+    )
 
 
 def ratio_scores(rows: DataFrame) -> DataFrame:
@@ -170,7 +195,7 @@ def sink_splits(spark, sf_dir):
 
 @query
 def emit_responses(spark, sf_dir):
-    bodies = turns.emit_responses(_assembled(spark, sf_dir), "turn_id")
+    bodies = turns.emit_responses(_assembled(spark, sf_dir)[0], "turn_id")
     fields = {
         "answer_hash": F.md5(F.get_json_object("body", "$.answer")),
         "label": F.get_json_object("body", "$.label"),
@@ -200,7 +225,7 @@ def filter_langs(spark, sf_dir):
 
 @query
 def assign_ids(spark, sf_dir):
-    rows = sampling.assign_ids(mixed_raw(spark, sf_dir), "fren", "doc_id")
+    rows = sampling.assign_ids(keyed_raw(spark, sf_dir), "fren", "doc_id")
     return rows.select("id", "doc_id", F.md5("text_raw").alias("h"))
 
 
@@ -268,7 +293,7 @@ def row_funnel(spark, sf_dir):
 @query
 def source_counts(spark, sf_dir):
     """Usable texts per source after cleaning."""
-    return cleaning.source_counts(cleaning.clean(unified(spark, sf_dir)))
+    return corpus_plan.usable_counts(**sources(mixed(spark, sf_dir)), key="doc_id")
 
 
 @query
@@ -323,13 +348,13 @@ def class_weights(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    rows = sampling.stratified_split(mixed_raw(spark, sf_dir), "doc_id", "label_original")
+    rows = sampling.stratified_split(keyed_raw(spark, sf_dir), "doc_id", "label_original")
     return rows.select("doc_id", "label_original", "split", F.md5("text_raw").alias("h"))
 
 
 @query
 def sample_exact(spark, sf_dir):
-    rows = sampling.sample_exact(mixed_raw(spark, sf_dir), 500, "doc_id")
+    rows = sampling.sample_exact(keyed_raw(spark, sf_dir), 500, "doc_id")
     return rows.select("doc_id", F.md5("text_raw").alias("h"))
 
 
@@ -496,6 +521,8 @@ def assemble_features(spark, sf_dir):
 
 # ---- models -----------------------------------------------------------------------------------
 
+# On these corpora of four scripts and languages both classifiers must separate the classes at least so well.
+MIN_MACRO_F1 = 0.9
 _FITTED: dict[tuple[str, str, str], object] = {}
 
 
@@ -523,22 +550,33 @@ def _softmax(spark, sf_dir):
     return _once(spark, sf_dir, "softmax", lambda: training.fit_softmax(_tables(spark, sf_dir), (1e-2, 1e-3, 1e-4)))
 
 
+def _judged(predictions: DataFrame) -> DataFrame:
+    """Classes of the validation rows with their support, and whether the macro-F1 passes the stated bound."""
+    report = metrics.class_scores(predictions)
+    mean = report.agg(F.avg("f1").alias("macro_f1"))
+    return report.select("label", "support", (mean.scalar() >= MIN_MACRO_F1).alias("passes"))
+
+
 @query
 def train_linear_svm(spark, sf_dir):
-    """Validation report of the fitted SVM."""
-    return metrics.classification_report(training.predictions(_svm(spark, sf_dir), _tables(spark, sf_dir).valid))
+    return _judged(training.predictions(_svm(spark, sf_dir), _tables(spark, sf_dir).valid))
 
 
 @query
 def train_softmax(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
-    model, _ = training.fit_softmax(tables)
-    return metrics.classification_report(training.predictions(model, tables.valid))
+    return _judged(training.predictions(_softmax(spark, sf_dir)[0], _tables(spark, sf_dir).valid))
 
 
 @query
 def select_best_model(spark, sf_dir):
-    return _softmax(spark, sf_dir)[1]
+    """The candidates; how many are marked best, and whether that one has the highest macro-F1."""
+    values = _softmax(spark, sf_dir)[1]
+    facts = values.agg(
+        F.count_if("best").alias("n_best"), (F.max(F.when(F.col("best"), F.col("macro_f1"))) == F.max("macro_f1")).alias("top")
+    )
+    return values.select(
+        "model", facts.select("n_best").scalar().alias("n_best"), facts.select("top").scalar().alias("best_is_max")
+    )
 
 
 @query
@@ -558,18 +596,32 @@ def load_model(spark, sf_dir):
     models.save_model(spark, _svm(spark, sf_dir), path)
     before = training.predictions(_svm(spark, sf_dir), tables.valid)
     after = training.predictions(models.load_model(spark, path), tables.valid).withColumnRenamed("p", "p_reloaded")
-    return before.join(after.drop("y"), "id").select("id", "p", "p_reloaded", (F.col("p") == F.col("p_reloaded")).alias("same"))
+    return before.join(after.drop("y"), "id").select("id", (F.col("p") == F.col("p_reloaded")).alias("same"))
 
 
 @query
 def detect(spark, sf_dir):
-    return models.detect(_softmax(spark, sf_dir)[0], chat_turns(spark, sf_dir), "turn_id", "text")
+    """What must hold for every detection, whatever the fitted weights."""
+    turns_ = chat_turns(spark, sf_dir)
+    found = models.detect(_softmax(spark, sf_dir)[0], turns_, "turn_id", "text")
+    flags = turns_.select("turn_id", tx.is_arabizi(F.col("text")).alias("arabizi"))
+    values = F.map_values("scores")
+    return found.join(flags, "turn_id").select(
+        "turn_id",
+        F.col("arabizi").cast("int").alias("arabizi"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 2).alias("score_sum"),
+        ((F.col("scores")[F.col("label")] == F.array_max(values)) & (F.col("confidence") == F.array_max(values))).alias("label_is_top"),
+        F.col("script").eqNullSafe(tx.script_of_dialect(F.col("label"), F.col("arabizi"))).alias("script_follows"),
+    )
 
 
 @query
 def compare_models(spark, sf_dir):
     fitted = {"svm": _svm(spark, sf_dir), "softmax": _softmax(spark, sf_dir)[0]}
-    return models.compare_models(fitted, corpora.drop_null_text(mixed(spark, sf_dir), "text"), "doc_id", "text", "label_original")
+    rows = corpora.drop_null_text(mixed(spark, sf_dir), "text")
+    compared = models.compare_models(fitted, rows, "doc_id", "text", "label_original")
+    known = F.col("pred").isin(*LABELS, "DE", "ES") & (F.col("ok") == (F.col("pred") == F.col("expected")))
+    return compared.select("model", "doc_id", "expected", known.alias("consistent"))
 
 
 @query
@@ -613,6 +665,82 @@ def detection_record(spark, sf_dir):
     )
 
 
+# ---- silver labels, gold rows, balance --------------------------------------------------------
+
+
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cleaning.clean(corpora.drop_null_text(mixed_raw(spark, sf_dir)))
+    return weak_labels.silver_labels(rows.select("doc_id", "label_original", "text_raw", "text_norm"))
+
+
+def _silver_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "doc_id", F.coalesce("silver_label", F.lit("(none)")).alias("silver_label"), F.round("silver_confidence", 6).alias("confidence")
+    )
+
+
+@query
+def silver_labels(spark, sf_dir):
+    return _silver_rows(silver(spark, sf_dir))
+
+
+@query
+def silver_filter(spark, sf_dir):
+    return _silver_rows(weak_labels.silver_filter(silver(spark, sf_dir)))
+
+
+@query
+def gold_sample(spark, sf_dir):
+    """The sample, read back from the CSV written for hand labelling."""
+    sample = weak_labels.gold_sample(keyed_raw(spark, sf_dir), "doc_id", "label_original")
+    path = scratch_path(spark, "to-label")
+    weak_labels.write_gold_sample(sample.select(F.col("doc_id").alias("id"), "text_raw", "label_original"), path)
+    stored = corpora.scan_csv_optional(spark, path, ["id", "text_raw", "label_original"])
+    return stored.select(F.col("id").cast("long").alias("doc_id"), "label_original", F.md5("text_raw").alias("h"))
+
+
+@query
+def ingest_gold(spark, sf_dir):
+    """Rows joined with a labelled CSV: two in three rows of the corpus, some of them left blank."""
+    rows, path = mixed_plain(spark, sf_dir), scratch_path(spark, "labelled")
+    given = F.when(F.col("doc_id") % 3 == 0, F.col("label_original")).otherwise(F.lit(" "))
+    labelled_rows = rows.filter("doc_id % 3 <> 1").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("text_raw"), given.alias("label")
+    )
+    corpora.write_csv(labelled_rows, path)
+    return weak_labels.ingest_gold(rows, path, "doc_id").select("doc_id", "gold_label", F.md5("text").alias("h"))
+
+
+@query
+def rebalance_classes(spark, sf_dir):
+    rows = weak_labels.rebalance_classes(keyed_raw(spark, sf_dir), "doc_id", "label_original")
+    return rows.select("doc_id", "label_original", F.md5("text_raw").alias("h"))
+
+
+@query
+def postprocess_predictions(spark, sf_dir):
+    """Predictions of the fixed ratio scorer, put right by the silver rule where they are unsure."""
+    scored = ratio_scores(silver(spark, sf_dir))
+    scored = scored.withColumn("pred", sc.label_at(sc.argmax(F.col("scores")), LABELS))
+    scored = scored.withColumn("confidence", F.round(F.array_max("scores"), 4))
+    done = weak_labels.postprocess_predictions(scored)
+    return done.select("doc_id", "pred", "confidence", "final_label")
+
+
+@query
+def dialect_msa_classifier(spark, sf_dir):
+    """A classifier of the rows in Arabic script by their two labels, judged on its validation rows."""
+
+    def fitted():
+        corpus = split_corpus(spark, sf_dir).withColumnRenamed("doc_id", "id")
+        share = tx.script_ratios(F.col("text_norm"))["arab_ratio"]
+        corpus = corpus.filter(F.col("label_original").isin(*training.DIALECT_OR_MSA) & (share > 0))
+        tables = training.prepare_training(corpus)
+        return training.predictions(training.fit_softmax(tables)[0], tables.valid)
+
+    return _judged(_once(spark, sf_dir, "dialect_msa", fitted))
+
+
 # ---- chat turns -------------------------------------------------------------------------------
 
 
@@ -621,7 +749,8 @@ def stream_detect(spark, sf_dir):
     """All requests through the stream, read back from both sinks."""
     requests, out = scratch_path(spark, "requests"), scratch_path(spark, "stream")
     chat_requests(spark, sf_dir).write.parquet(requests)
-    stream = spark.readStream.schema("turn_id string, body string").parquet(requests)
+    source = spark.readStream.schema("turn_id string, body string").option("maxFilesPerTrigger", 64)
+    stream = source.parquet(requests)
     running = streaming.stream_detect(
         stream, ratio_scores, LABELS, f"{out}/accepted", f"{out}/rejected", f"{out}/checkpoint"
     )
@@ -702,23 +831,36 @@ def parse_generation_results(spark, sf_dir):
     return turns.parse_generation_results(_results(spark, sf_dir), "turn_id")
 
 
-def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answered and failed turns: some further turns have no generation, or one without an answer."""
     rows = chat_turns(spark, sf_dir)
+    lost = rows.filter("conv_id % 7 = 3").withColumn("turn_id", F.concat("turn_id", F.lit("-lost")))
+    rows = rows.unionByName(lost)
     norm = computed_once(rows.select("turn_id", "text"), "text_norm", tx.normalize_text(F.col("text")))
     record = models.detection(F.col("scores"), tx.is_arabizi(F.col("text")), LABELS)
     detections = ratio_scores(norm).select(
         "turn_id", record.alias("d"), turns.rounded_ms(F.length("text") / 30000.0).alias("detect_ms")
     ).select("turn_id", "d.*", "detect_ms")
     detections = detections.withColumn("prompt_key", tx.prompt_key(F.col("label"), F.col("script")))
-    generations = turns.parse_generation_results(_results(spark, sf_dir), "turn_id")
+    silent = lost.filter("turn % 2 = 0").select("turn_id", F.lit('{"choices":[]}').alias("body"))
+    generations = turns.parse_generation_results(_results(spark, sf_dir).unionByName(silent), "turn_id")
     generations = generations.withColumn("generate_ms", turns.rounded_ms(F.length("answer") / 700.0))
     return turns.assemble_turns(detections, generations, "turn_id")
 
 
 @query
 def assemble_turns(spark, sf_dir):
-    rows = _assembled(spark, sf_dir).select("turn_id", "response.*")
-    return rows.select(
+    answered, failed = _assembled(spark, sf_dir)
+    none = F.lit("")
+    errors = failed.select(
+        "turn_id",
+        F.col("error").alias("answer_hash"),
+        none.alias("label"),
+        *[F.lit(0.0).alias(c) for c in ("confidence", "score_dialect", "detect_ms", "generate_ms")],
+        *[none.alias(c) for c in ("detector", "script", "prompt_key")],
+        "status",
+    )
+    rows = answered.select("turn_id", "response.*").select(
         "turn_id",
         F.md5("answer").alias("answer_hash"),
         "label",
@@ -729,7 +871,9 @@ def assemble_turns(spark, sf_dir):
         F.col("model.detector").alias("detector"),
         F.coalesce("script", F.lit("(null)")).alias("script"),
         "prompt_key",
+        F.lit(200).alias("status"),
     )
+    return rows.unionByName(errors)
 
 
 @query
