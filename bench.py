@@ -6,6 +6,7 @@ BENCH_SF_DIR names the tables (default /root/testdata/sf0.1), BENCH_CPUS the loc
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -55,6 +56,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="langweave-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -199,8 +199,9 @@ def select_best_model(
 
     All candidates score a row in one pass and are judged by one grouped aggregation; ties go to the first name.
     """
-    entries = valid_vectors.select(label, F.unwrap_udt("features").alias("_v"))
-    scored = score_all(candidates, entries, "_v.indices", "_v.values")
+    entries = computed_once(valid_vectors.select(label, "features"), "_v", F.unwrap_udt("features"))
+    entries = entries.select(label, F.col("_v.indices").alias("slots"), F.col("_v.values").alias("weights"))
+    scored = score_all(candidates, entries, "slots", "weights")
     scored = scored.select("model", F.col(label).alias("y"), F.col("pred").alias("p"))
     values = macro_f1(scored, by=["model"])
     best = values.orderBy(F.desc("macro_f1"), "model").first()["model"]

@@ -35,7 +35,7 @@ def tables(corpus):
 
 @pytest.fixture(scope="module")
 def svm(tables):
-    return training.fit_svm(tables)
+    return training.fit_svm(tables, max_iter=100)
 
 
 @pytest.fixture(scope="module")
@@ -106,7 +106,7 @@ def test_stream_equals_batch(spark, softmax, tmp_path):
         stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
         paths = [str(tmp_path / p) for p in ("accepted", "rejected", "checkpoint")]
         streaming.stream_detect(stream, score, softmax.labels, *paths).awaitTermination()
-        return spark.read.parquet(paths[0]).drop("batch_id"), spark.read.parquet(paths[1]).drop("batch_id")
+        return spark.read.parquet(paths[0]).drop("run", "batch_id"), spark.read.parquet(paths[1]).drop("run", "batch_id")
 
     run()
     requests.filter("turn_id = 't0'").withColumn("turn_id", F.lit("t9")).coalesce(1).write.mode("append").parquet(source)
@@ -119,6 +119,24 @@ def test_stream_equals_batch(spark, softmax, tmp_path):
     assert {r["turn_id"] for r in rejected.collect()} == {"t1", "t3"}
 
 
+def test_a_fresh_checkpoint_overwrites_nothing(spark, softmax, tmp_path):
+    score = streaming.classifier_scorer(softmax)
+    for k in (1, 2):
+        rows = spark.createDataFrame([(f"t{k}", '{"text":"what are the best"}')], "turn_id string, body string")
+        rows.write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{k}"))
+        paths = [str(tmp_path / p) for p in ("accepted", "rejected", f"checkpoint{k}")]
+        streaming.stream_detect(stream, score, softmax.labels, *paths).awaitTermination()
+    assert {r["turn_id"] for r in spark.read.parquet(str(tmp_path / "accepted")).collect()} == {"t1", "t2"}
+
+
+def test_fit_is_bounded_and_vocabulary_is_not(corpus):
+    options = ft.FeatureOptions(max_features=300)
+    bounded = training.prepare_training(corpus, options, max_train_rows=10)
+    assert bounded.train.count() == 10
+    assert bounded.features.word.terms == training.prepare_training(corpus, options).features.word.terms
+
+
 def test_scorer_runs_on_a_plain_stream(spark, softmax, tmp_path):
     """Scoring keeps no state, so the same columns also work in an ordinary streaming plan."""
     rows = spark.createDataFrame([("a", "what are the best"), ("b", "quels sont les avantages")], "turn_id string, text string")

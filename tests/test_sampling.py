@@ -75,3 +75,41 @@ def test_split_plan_leaves_rows_in_place(spark, skewed):
     split = sampling.stratified_split(skewed, "id", "label")
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_null_keys_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "a"), (3, "b")], "id long, label string")
+    for build in (
+        lambda: sampling.assign_ids(df.withColumnRenamed("id", "key"), "x", "key"),
+        lambda: sampling.stratified_split(df, "id", "label"),
+        lambda: sampling.sample_exact(df, 1, "id"),
+    ):
+        with pytest.raises(Exception, match="null key"):
+            build().collect()
+
+
+def test_repeated_keys_leave_no_exact_sample(spark):
+    df = spark.createDataFrame([(7,), (7,), (7,)], "id long")
+    with pytest.raises(ValueError, match="repeated"):
+        sampling.sample_exact(df, 2, "id")
+    assert sampling.sample_exact(df, 3, "id").count() == 3
+
+
+def test_exact_rows_per_group(spark, skewed):
+    sizes = {r["label"]: r["count"] for r in skewed.groupBy("label").count().collect()}
+    ids = {label: order([r["id"] for r in skewed.filter(F.col("label") == label).collect()]) for label in sizes}
+    least = min(sizes.values())
+    got = sampling.exact_per_group(skewed, "id", "label", F.col("_least")).collect()
+    for label in sizes:
+        assert {r["id"] for r in got if r["label"] == label} == set(ids[label][:least])
+    empty = sampling.exact_per_group(skewed.limit(0), "id", "label", F.col("_least"))
+    assert empty.count() == 0 and empty.columns == skewed.columns
+
+
+def test_counting_passes_read_keys_only(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "cast(id % 3 as string) as label", "repeat('x', 50) as text")
+    rows.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t")).withColumn("text", F.upper("text"))
+    counted = sampling._prefix_counts(sampling._keyed(table, "id", F.col("label"), 42))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan

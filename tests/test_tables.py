@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from langweave.fixed_values import REJECT_MESSAGE, SYSTEM_PROMPTS
 from langweave.operators import cleaning, lookups, metrics, turns
+from langweave.operators.sampling import sample_exact
 from langweave.plans import corpus as corpus_plan
 from langweave.sources import corpora
 
@@ -40,7 +41,7 @@ def test_response_keeps_null_script(spark):
         "id int, label string, confidence double, scores map<string,double>, script string, detector_name string, detect_ms double, prompt_key string",
     )
     generations = spark.createDataFrame([(1, "oui", "g", 2.0)], "id int, answer string, generator_name string, generate_ms double")
-    body = json.loads(turns.emit_responses(turns.assemble_turns(detections, generations, "id"), "id").first()["body"])
+    body = json.loads(turns.emit_responses(turns.assemble_turns(detections, generations, "id")[0], "id").first()["body"])
     assert body == {
         "answer": "oui", "label": "FR", "scores": {"FR": 0.9}, "confidence": 0.9, "timings": {"detect_ms": 1.5, "generate_ms": 2.0},
         "model": {"detector": "d", "generator": "g"}, "script": None, "prompt_key": "FR",
@@ -68,15 +69,20 @@ def test_corpus_plan(spark):
     dialect = spark.createDataFrame([(i, f"wach nta {i}") for i in range(40)], "k long, text string")
     langid = spark.createDataFrame([(1, "bonjour toi", "FR"), (2, None, "FR"), (3, "http://only.url", "EN"), (4, "1 2", "EN")], "k long, text string, labels string")
     msa = spark.createDataFrame([(1, "مرحبا", "AR_MSA")], "k long, text string, label string")
-    unified = corpus_plan.unify(dialect, langid, msa, "k", sample_size=10)
-    assert unified.count() == 10 + 3 + 1
-    assert {r["id"] for r in unified.filter("source = 'Atlaset'").collect()} == {f"atlaset_{i}" for i in range(10)}
+    unified = corpus_plan.unify(dialect, langid, msa, "k")
+    assert unified.count() == 40 + 3 + 1
+    assert {r["id"] for r in unified.filter("source = 'Atlaset'").collect()} == {f"atlaset_{i}" for i in range(40)}
     funnel = cleaning.row_funnel(unified).first()
-    assert tuple(funnel) == (14, 13, 12)
+    assert tuple(funnel) == (44, 43, 42)
     split = corpus_plan.clean_and_split(unified)
-    assert split.count() == 12 and set(split.columns) == {"id", "text_raw", "label_original", "source", "text_norm", "split"}
+    assert split.count() == 42 and set(split.columns) == {"id", "text_raw", "label_original", "source", "text_norm", "split"}
     counts = {r["source"]: r["n_rows"] for r in cleaning.source_counts(split).collect()}
-    assert counts == {"Atlaset": 10, "papluca": 1, "NADI2022": 1}
+    assert counts == {"Atlaset": 40, "papluca": 1, "NADI2022": 1}
+    counted = {r["source"]: r["n_rows"] for r in corpus_plan.usable_counts(dialect, langid, msa, "k").collect()}
+    assert counted == counts
+    # Only a sample that is asked for cuts anything.
+    sampled = corpus_plan.unify(sample_exact(dialect, 10, "k"), langid, msa, "k")
+    assert sampled.count() == 10 + 3 + 1
 
 
 def test_metrics_with_absent_classes(spark):
@@ -105,3 +111,29 @@ def test_sink_splits_prunes(spark, tmp_path):
     stored = corpora.sink_splits(df, str(tmp_path / "s"))
     plan = stored.filter("split = 'train'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and stored.filter("split = 'train'").count() == 5
+
+
+def test_turns_without_an_answer_fail_aloud(spark):
+    detections = spark.createDataFrame(
+        [(k, "FR", 0.9, {"FR": 0.9}, None, "d", 1.5, "FR") for k in (1, 2, 3)],
+        "id int, label string, confidence double, scores map<string,double>, script string, detector_name string, detect_ms double, prompt_key string",
+    )
+    generations = spark.createDataFrame(
+        [(1, "oui", "g", 2.0), (2, None, "g", 2.0)], "id int, answer string, generator_name string, generate_ms double"
+    )
+    answered, failed = turns.assemble_turns(detections, generations, "id")
+    assert [r["id"] for r in answered.collect()] == [1]
+    assert sorted((r["id"], r["status"]) for r in failed.collect()) == [(2, 500), (3, 500)]
+
+
+def test_missing_predictions_are_wrong(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None), ("b", "b"), ("b", "a")], "y string, p string")
+    assert metrics.accuracy(df).first()["accuracy"] == 0.5
+    scores = {r["label"]: (r["recall"], r["support"]) for r in metrics.class_scores(df).collect()}
+    assert scores == {"a": (0.5, 2), "b": (0.5, 2)}
+
+
+def test_a_body_that_names_its_text_twice_is_rejected(spark):
+    df = spark.createDataFrame([(1, '{"text":"a","text":"b"}'), (2, '{"text":"c"}')], "id int, body string")
+    accepted, rejected = turns.validate_requests(df)
+    assert [r["text"] for r in accepted.collect()] == ["c"] and [r["id"] for r in rejected.collect()] == [1]
