@@ -174,6 +174,8 @@ def train(
 
     gathered = text_rows(rows.select("doc_id", "_features", "_label")).repartition(1)
     found = gathered.mapInArrow(fitted, "weights binary, numbers array<double>").first()
+    if found is None:  # no labelled row at all
+        return fit([], np.array([], bool), 1 << bits)
     return Model(np.frombuffer(bytes(found["weights"]), "<f4"), *found["numbers"])
 
 

@@ -67,7 +67,7 @@ def test_awkward_rows(awkward, spark):
     got = classify(score_documents(awkward.selectExpr("*", "1 as score"), model)).collect()
     assert len(got) == 10
     empty = {r.score for r in got if r.doc_id in (0, 1, 2)}
-    assert empty == {pytest.approx(1 / (1 + np.exp(1)))}
+    assert len(empty) == 1 and empty.pop() == pytest.approx(1 / (1 + np.exp(1)))
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     assert score_documents(awkward.limit(0), model).collect() == []
     nothing = spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
