@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel
@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 from langweave.fixed_values import CHAR_NGRAMS, MAX_FEATURES, WORD_NGRAMS
 from langweave.functions.ngrams import char_wb_ngrams, word_ngrams
 from langweave.functions.text import script_ratios
-from langweave.scratch import computed_once, materialize
+from langweave.scratch import computed_once, materialize, small_side
 
 WORD, CHAR = "word", "char"
 RATIOS = ("arab_ratio", "latin_ratio", "cs_ratio")
@@ -59,20 +59,59 @@ def block_ngrams(text: Column, block: str, options: FeatureOptions = FeatureOpti
     return char_wb_ngrams(text, options.char_ngrams)
 
 
-def term_statistics(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
-    """``term, total_tf, df`` over all documents, written out once.
+def _listed(docs: DataFrame, text: str, block: str, options: FeatureOptions) -> DataFrame:
+    """``term, _occurrence``: the grams of each document and then, not marked as occurrences, its distinct grams.
 
-    Each document contributes its grams and then its distinct grams to one exploded list; the position
-    tells the two apart, so both counts come from one pass and one partially aggregated shuffle.
+    Both counts of a term come from one pass over this list.
     """
     grams = docs.select(block_ngrams(F.col(text), block, options).alias("_grams"))
     listed = grams.select(
         F.size("_grams").alias("_n"),
         F.posexplode(F.concat("_grams", F.array_distinct("_grams"))).alias("_position", "term"),
     )
-    occurrence = F.col("_position") < F.col("_n")
-    stats = listed.groupBy("term").agg(F.count_if(occurrence).alias("total_tf"), F.count_if(~occurrence).alias("df"))
-    return materialize(stats, f"terms-{block}")
+    return listed.select("term", (F.col("_position") < F.col("_n")).alias("_occurrence"))
+
+
+def _counted(listed: DataFrame) -> DataFrame:
+    return listed.groupBy("term").agg(
+        F.count_if("_occurrence").alias("total_tf"), F.count_if(~F.col("_occurrence")).alias("df")
+    )
+
+
+def term_statistics(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """``term, total_tf, df`` of all terms over all documents, written out once."""
+    return materialize(_counted(_listed(docs, text, block, options)), f"terms-{block}")
+
+
+def _parts(term: Column, block: str, size: int) -> tuple[Column, Column]:
+    """The two grams one size shorter that begin and end a gram."""
+    if block == WORD:
+        return F.substring_index(term, " ", size - 1), F.substring_index(term, " ", 1 - size)
+    return F.substring(term, 1, size - 1), F.substring(term, 2, size - 1)
+
+
+def frequent_terms(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """``term, total_tf, df`` of terms among which are the ``max_features`` most frequent; the rest may be missing.
+
+    Sizes are counted one after the other. A gram occurs no more often than its parts, and the count of the k-th term
+    so far is a lower bound for the k-th of all. So of the next size only grams whose two parts reach that count are
+    counted: the long tail of rare longer grams, which outgrows the corpus, never shuffles.
+    """
+    low, high = options.word_ngrams if block == WORD else options.char_ngrams
+    found: DataFrame | None = None
+    for size in range(low, high + 1):
+        one = replace(options, **{f"{block}_ngrams": (size, size)})
+        listed = _listed(docs, text, block, one)
+        if found is not None:
+            kept = vocab_topk(found, options.max_features)
+            reached = kept.agg(F.count("*").alias("n"), F.min("total_tf").alias("least")).first()
+            if reached["n"] == options.max_features and reached["least"] > 1:
+                common = small_side(found.filter(F.col("total_tf") >= reached["least"]).select(F.col("term").alias("_part")))
+                for part in _parts(F.col("term"), block, size):
+                    listed = listed.join(common, part == F.col("_part"), "left_semi")
+        counted = materialize(_counted(listed), f"terms-{block}-{size}")
+        found = counted if found is None else found.unionByName(counted)
+    return found
 
 
 def vocab_topk(stats: DataFrame, k: int) -> DataFrame:
@@ -102,7 +141,7 @@ def smooth_idf(df: Column, n_docs: int) -> Column:
 
 def fit_vocabulary(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> Vocabulary:
     """The kept terms of one block, in term order, with their idf."""
-    top = vocab_topk(term_statistics(docs, text, block, options), options.max_features)
+    top = vocab_topk(frequent_terms(docs, text, block, options), options.max_features)
     rows = top.select("term", smooth_idf(F.col("df"), docs.count()).alias("idf")).collect()
     rows.sort(key=lambda row: row["term"].encode())
     return Vocabulary([row["term"] for row in rows], [row["idf"] for row in rows])

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,16 @@ def test_empty_vocabulary_and_null_text(spark):
     model = ft.fit_features(docs.filter("id = 2"), "text")
     rows = {r["id"]: r["features"] for r in model.transform(docs, "text", ["id"]).collect()}
     assert model.word.terms == [] and set(rows) == {1, 2}
+
+
+@pytest.mark.parametrize("block", [ft.WORD, ft.CHAR])
+@pytest.mark.parametrize("k", [5, 40, 10_000])
+def test_pruned_counting_finds_the_same_terms(spark, block, k):
+    r = random.Random(k)
+    words = ["ab", "abc", "bc", "cab", "ba", "aab", "cc"] + [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choices(words, weights=[20] * 7 + [1] * 30, k=r.randint(0, 25))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    options = ft.FeatureOptions(max_features=k)
+    every = ft.vocab_topk(ft.term_statistics(docs, "t", block, options), k)
+    pruned = ft.vocab_topk(ft.frequent_terms(docs, "t", block, options), k)
+    assert [tuple(x) for x in pruned.collect()] == [tuple(x) for x in every.collect()]

@@ -360,7 +360,7 @@ def sample_exact(spark, sf_dir):
 
 @query
 def vocab_topk(spark, sf_dir):
-    stats = features.term_statistics(cleaned(spark, sf_dir), "text_norm", features.WORD)
+    stats = features.frequent_terms(cleaned(spark, sf_dir), "text_norm", features.WORD)
     return features.vocab_topk(stats, features.MAX_FEATURES)
 
 
