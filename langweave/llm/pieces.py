@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from langweave.llm.columns import whole
 MARKER = "▁"
 # How far below the lowest score an uncovered character lies.
 UNKNOWN_PENALTY = 10.0
-KEPT_CHUNKS = 400_000
+# Encoded chunks a Python worker keeps; past it the memory is started anew (some 200 MB).
+KEPT_CHUNKS = 800_000
 
 
 class DoubleArray:
@@ -78,6 +80,10 @@ class DoubleArray:
                 states[prefix + bytes([b])] = child
         for key, number in keys.items():
             self.value[states[key]] = number
+        # So that no byte leads out of the arrays.
+        room = max(self.base) + 257 - len(self.check)
+        for cells, empty in ((self.base, 0), (self.check, -1), (self.value, -1)):
+            cells.extend([empty] * max(room, 0))
 
 
 @dataclass
@@ -127,11 +133,12 @@ class PieceCodec:
         self.written = [self.byte_of.get(i, p.encode()) for i, p in enumerate(model.pieces)]
         for i in set(range(len(model.pieces))).difference(model.ordinary, self.byte_of):
             self.written[i] = " ⁇ ".encode() if i == model.unknown_id else b""
+        self.written_array = np.array(self.written, object)
 
     def segment(self, chunk: bytes) -> list[int]:
         """Viterbi search over the chunk's UTF-8 bytes."""
         base, check, value, scores = self.base, self.check, self.value, self.model.scores
-        size, slots = len(chunk), len(check)
+        size = len(chunk)
         best: list[float | None] = [None] * (size + 1)
         came: list[tuple[int, int]] = [(0, -1)] * (size + 1)
         best[0] = 0.0
@@ -141,10 +148,10 @@ class PieceCodec:
             width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
             so_far, state, i, covered = best[at], 0, at, False
             while so_far is not None and i < size:
-                state_next = base[state] + chunk[i] + 1
-                if state_next >= slots or check[state_next] != state:
+                child = base[state] + chunk[i] + 1
+                if check[child] != state:
                     break
-                state, i = state_next, i + 1
+                state, i = child, i + 1
                 piece = value[state]
                 if piece >= 0:
                     total = so_far + scores[piece]
@@ -186,8 +193,11 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, markers as spaces, without the leading one."""
-        written = self.written
-        text = b"".join([written[i] for i in ids]).decode(errors="replace").replace(MARKER, " ")
+        return self.joined([self.written[i] for i in ids])
+
+    @staticmethod
+    def joined(written: list[bytes]) -> str:
+        text = b"".join(written).decode(errors="replace").replace(MARKER, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -248,7 +258,10 @@ def decode_pieces(encoded: DataFrame, model: PieceModel) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            texts = [codec.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+            written = codec.written_array[pc.list_flatten(ids).to_numpy()]
+            texts = [codec.joined(written[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
             yield pa.record_batch(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"]
             )
