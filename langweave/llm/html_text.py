@@ -3,9 +3,9 @@
 Markup is stripped to lines, one a block element; what markup itself names as beside the point (menus, page headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) leaves an empty line. Over the lines' text
 lengths slide windows of a few lines: where a sum surges past a threshold text begins, where it dives to nothing text
-ends. The span with most text tells where the article is: in the innermost ``article`` or ``main`` around it or, without
-one, in the innermost element that holds the whole span. All remaining lines of that element are its text, short
-first and last ones too. Work is local to the row.
+ends. The spans tell where the article is: in the innermost ``article`` or ``main`` elements around their lines or, where
+the longest line has none, in the innermost container that holds the lines of all spans. All remaining lines of these
+elements are its text, short first and last ones too. Work is local to the row.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ DROPPED_TAGS = frozenset(
     "head script style noscript template svg math iframe object canvas audio video map nav footer aside form button "
     "select textarea dialog menu".split()
 )
+# Blocks that hold a passage, never an article.
+PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd tr td th blockquote pre figure figcaption".split())
 RAW_TEXT = frozenset(("script", "style"))
 ARTICLE_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -218,19 +220,20 @@ def main_text(html: str) -> str:
     spans = spans_of_text(lengths)
     if not spans:
         return ""
-    start, end = max(spans, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
-    inside = [line for line, length in zip(lines[start:end], lengths[start:end]) if length]
+    inside = [line for start, end in spans for line, length in zip(lines[start:end], lengths[start:end]) if length]
     densest = max(inside, key=lambda line: len(line.text))
-    articles = [n for n in densest.path if reader.tags[n] in ARTICLE_TAGS]
-    if articles:
-        holder, links_too = articles[-1], True
+    around = [[n for n in line.path if reader.tags[n] in ARTICLE_TAGS] for line in (densest, *inside)]
+    if around[0]:
+        holders, links_too = {articles[-1] for articles in around if articles}, True
     else:
         common = set(inside[0].path).intersection(*[line.path for line in inside])
-        holder, links_too = max(common), False
+        # An element with lines of its own only is a passage, whatever its tag.
+        containers = {n for line in lines for n in line.path[:-1] if reader.tags[n] not in PASSAGES} | {0}
+        holders, links_too = {max(common & containers)}, False
     blocks = [
         line.text
         for line, length in zip(lines, lengths)
-        if line.text and holder in line.path and (length or links_too)
+        if line.text and not holders.isdisjoint(line.path) and (length or links_too)
     ]
     return "\n\n".join(blocks)
 

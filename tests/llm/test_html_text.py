@@ -42,6 +42,22 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+GAP = "<div class='ad'>x</div><div class='share'>y</div><div class='newsletter'>z</div>"
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        (f"<body><div><h1>Title</h1><p>{LONG * 2}</p><p>{LONG * 3}</p>{GAP}<p>{LONG * 9}</p></div>", ("Title", 2, 3, 9)),
+        (f"<body><div><div><p>{LONG}</p></div>{GAP}<div><p>{LONG * 2}</p></div></div>", (1, 2)),
+        (f"<body><div>Title</div><div>{LONG}</div>", ("Title", 1)),
+        (f"<article><p>{LONG}</p></article>{GAP}<p>between</p><article><h2>More</h2><p>{LONG * 3}</p></article>", (1, "More", 3)),
+    ],
+)
+def test_text_between_dropped_blocks_stays_whole(page, blocks):
+    assert main_text(page) == "\n\n".join(b if isinstance(b, str) else (LONG * b).strip() for b in blocks)
+
+
 def test_line_blocks():
     assert spans_of_text([0, 100, 50, 0, 0, 0, 5, 0, 0, 200]) == [(0, 3), (7, 10)]
     assert spans_of_text([5, 6, 7]) == [(0, 3)]
