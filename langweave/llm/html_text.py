@@ -32,7 +32,7 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var".split()
 )
 DROPPED_TAGS = frozenset(
-    "head script style noscript template svg math iframe object canvas audio video map nav footer aside form button "
+    "head script style noscript template svg math iframe object canvas audio video map nav footer aside button "
     "select textarea dialog menu".split()
 )
 # Blocks that hold a passage, never an article.
@@ -53,6 +53,17 @@ BESIDE = re.compile(
 # These name the article's own parts as well, as in "article-header".
 BESIDE_ALONE = re.compile(r"header|top|side|legal|disclaimer|teaser")
 OWN = re.compile(r"article|post|entry|story|content|main|body|text")
+# Of these words, those that name a block of its own even on an article, and class tokens that tell of a page or an
+# article what it has, lacks or is filed under.
+APART = re.compile(r"related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|sponsor\w*|promo\w*")
+ABOUT = re.compile(
+    r"(has|have|no|not|with|without|is|category|cat|tag|type|format|status)[-_].*|.*[-_](with|without|has|no)[-_].*|"
+    r".*[-_](open|opened|closed|enabled|disabled|on|off)",
+    re.IGNORECASE,
+)
+# An element dropped for its class alone, or a form, is a wrapper of the page if it holds so many passages.
+WRAPPER_PASSAGES = 2
+MAX_WRAPPERS = 8
 # An open element of the left kind ends where one of the right kind starts.
 ENDED_BY = {
     "li": {"li"},
@@ -72,6 +83,8 @@ class Element:
     number: int
     dropped: bool
     heading_only: bool = False
+    # The number of the element around this one, or itself, that only a class word or a form's tag has dropped.
+    doubtful: int | None = None
 
 
 @dataclass
@@ -90,13 +103,19 @@ def is_beside(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    if attributes.get("role", "") in DROPPED_ROLES:
-        return True
-    if tag in ("html", "body"):
+    return attributes.get("role", "") in DROPPED_ROLES
+
+
+def is_named_beside(tag: str, attributes: dict[str, str]) -> bool:
+    """Do the words of its class or id say so, or is it a form? Both are also found around a whole page."""
+    if tag in ("html", "body", "main"):
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", names)]
-    if any(BESIDE.fullmatch(w) for w in words):
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    names = [name for name in names if not ABOUT.fullmatch(name)]
+    words = [w.lower() for name in names for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+    if tag == "article":
+        return any(APART.fullmatch(w) for w in words)
+    if tag == "form" or any(BESIDE.fullmatch(w) for w in words):
         return True
     return any(BESIDE_ALONE.fullmatch(w) for w in words) and not any(OWN.fullmatch(w) for w in words)
 
@@ -104,13 +123,17 @@ def is_beside(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 class LineReader(HTMLParser):
     """Turns a page into lines; elements get numbers in page order, and a line the numbers of those around it."""
 
-    def __init__(self) -> None:
+    def __init__(self, wrappers: frozenset[int] = frozenset()) -> None:
+        """``wrappers`` are the numbers of elements that neither class words nor a form's tag drop."""
         super().__init__(convert_charrefs=True)
         self.open: list[Element] = [Element("", 0, False)]
         self.count = 0
         self.tags: dict[int, str] = {0: ""}
         self.lines: list[Line] = []
         self.current: Line | None = None
+        self.wrappers = wrappers
+        # Of doubtfully dropped elements, their text's length, their passages and whether an article is among them.
+        self.doubtful: dict[int, list[int]] = {}
 
     def _break(self) -> None:
         if self.current is not None:
@@ -146,12 +169,22 @@ class LineReader(HTMLParser):
         above = self.open[-1]
         in_article = any(e.tag in ARTICLE_TAGS for e in self.open)
         attributes = {name: value or "" for name, value in attrs}
-        dropped = above.dropped or is_beside(tag, attributes, in_article)
-        own_header = tag == "header" and in_article
         self.count += 1
+        surely = is_beside(tag, attributes, in_article)
+        named = not above.dropped and not surely and self.count not in self.wrappers and is_named_beside(tag, attributes)
+        dropped = above.dropped or surely or named
+        doubtful = None if surely else self.count if named else above.doubtful
+        if named:
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+            if not any(APART.fullmatch(w) for w in re.findall("[a-z]+", names)):
+                self.doubtful[self.count] = [0, 0, 0]
+        if doubtful in self.doubtful:
+            self.doubtful[doubtful][1] += tag == "p"
+            self.doubtful[doubtful][2] += tag in ARTICLE_TAGS or tag == "h1"
+        own_header = tag == "header" and in_article
         self.tags[self.count] = tag
         heading_only = (above.heading_only or own_header) and tag not in HEADINGS
-        self.open.append(Element(tag, self.count, dropped, heading_only))
+        self.open.append(Element(tag, self.count, dropped, heading_only, doubtful))
         if dropped and not above.dropped and tag not in INLINE:
             self.lines.append(Line(tuple(e.number for e in self.open)))
 
@@ -175,6 +208,8 @@ class LineReader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         above = self.open[-1]
+        if above.doubtful in self.doubtful:
+            self.doubtful[above.doubtful][0] += len(data.strip())
         if above.dropped or above.heading_only:
             return
         if self.current is None:
@@ -211,10 +246,29 @@ def spans_of_text(lengths: list[int]) -> list[tuple[int, int]]:
     return spans
 
 
+def read_page(html: str) -> tuple[LineReader, list[Line]]:
+    """The page's lines. If no dense text remains, a doubtfully dropped element that wraps the page is read after all."""
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        reader = LineReader(wrappers)
+        lines = reader.read(html)
+        held = {reader.tags[n] for line in lines if line.text for n in line.path}
+        dense = any(2 * line.linked <= len(line.text) and len(line.text) > SURGE_CHARS for line in lines)
+        if dense or not held.isdisjoint(ARTICLE_TAGS) or len(wrappers) == MAX_WRAPPERS:
+            return reader, lines
+        found = [
+            (chars, -number)
+            for number, (chars, passages, articles) in reader.doubtful.items()
+            if chars > SURGE_CHARS and (passages >= WRAPPER_PASSAGES or articles)
+        ]
+        if not found:
+            return reader, lines
+        wrappers |= {-max(found)[1]}
+
+
 def main_text(html: str) -> str:
     """The article of a page: blocks in page order, white space runs inside one as a space, two line feeds between."""
-    reader = LineReader()
-    lines = reader.read(html)
+    reader, lines = read_page(html)
     # A line that is mostly links belongs to a list of links; it has no text of its own.
     lengths = [0 if 2 * line.linked > len(line.text) else len(line.text) for line in lines]
     spans = spans_of_text(lengths)

@@ -58,6 +58,25 @@ def test_text_between_dropped_blocks_stays_whole(page, blocks):
     assert main_text(page) == "\n\n".join(b if isinstance(b, str) else (LONG * b).strip() for b in blocks)
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<div id='content' class='has-sidebar'>", "</div>"),
+        ("<main class='content no-sidebar'>", "</main>"),
+        ("<article class='post category-social comments-open'>", "</article>"),
+        ("<article class='post share'>", "</article>"),
+        ("<div class='page-with-nav'>", "</div>"),
+        ("<div class='content sidebar'>", "</div>"),
+        ("<form id='aspnet'><div class='page'>", "</div></form>"),
+        ("<form><div class='page widget'><div>", "</div></div></form>"),
+    ],
+)
+def test_words_on_a_wrapper_drop_no_article(start, end):
+    beside = f"<div class='comments'><p>{LONG * 2}</p><p>{LONG * 2}</p></div>"
+    page = f"<body>{start}<h1>Title</h1><p>{LONG * 2}</p><p>{LONG}</p>{beside}{end}</body>"
+    assert main_text(page) == f"Title\n\n{(LONG * 2).strip()}\n\n{LONG.strip()}"
+
+
 def test_line_blocks():
     assert spans_of_text([0, 100, 50, 0, 0, 0, 5, 0, 0, 200]) == [(0, 3), (7, 10)]
     assert spans_of_text([5, 6, 7]) == [(0, 3)]
