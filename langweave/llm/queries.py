@@ -15,7 +15,10 @@ from langweave.llm.pieces import MARKER, PieceModel, decode_pieces, encode_piece
 from langweave.llm.quality_classifier import classify, score_documents, train
 from langweave.llm.quality_rules import COUNT_COLUMNS, quality_rules
 from langweave.llm.simhash import simhash_groups
+from langweave.llm.suffix_dedup import remove_repeats
 from langweave.llm.token_files import read_checksums, write_token_files
+from langweave.llm.turn_repair import repair_damaged
+from langweave.llm.whitening import whitened_components
 from langweave.scratch import materialize
 
 
@@ -88,6 +91,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -99,4 +121,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_personal_data": op10_personal_data,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_whitening": op13_whitening,
 }
