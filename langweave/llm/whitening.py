@@ -19,8 +19,8 @@ SCALE, OFFSET = 64, 1_000_000
 LARGEST = float(2**61)
 # Eigenvalues below this share of the trace are rounding, not variance.
 LEAST_SHARE = 1e-12
-QUADRATURE_POINTS = 8
-MAX_ROUNDS = 60
+QUADRATURE_POINTS = 16
+MAX_ROUNDS = 200
 BISECTIONS = 40
 # Sums of integer products below this are exact in double precision.
 EXACT = 2**53
@@ -74,13 +74,13 @@ def contour_projection(matrix: np.ndarray, low: float, high: float, block: np.nd
 def eigenpairs_between(matrix: np.ndarray, low: float, high: float, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``count`` eigenvalues between ``low`` and ``high`` (falling) and their unit eigenvectors (columns).
 
-    The projection of a block somewhat wider than ``count`` is repeated, Rayleigh-Ritz on it in between, until the
+    The projection of a block about twice as wide as ``count`` is repeated, Rayleigh-Ritz on it in between, until the
     residuals of the pairs inside are rounding errors. Raises if any is missed against ``count``.
     """
     size = len(matrix)
     if count == 0:
         return np.zeros(0), np.zeros((size, 0))
-    width = min(size, count + max(4, count // 2))
+    width = min(size, 2 * count + 8)
     block = np.random.default_rng(size).standard_normal((size, width))
     scale, best = np.abs(matrix).sum(axis=1).max(), np.inf
     for _ in range(MAX_ROUNDS):
