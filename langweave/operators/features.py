@@ -206,6 +206,11 @@ class FeatureModel:
     def size(self) -> int:
         return len(self.word.terms) + len(self.char.terms) + len(RATIOS)
 
+    def only(self, block: str) -> FeatureModel:
+        """These features without the other block of n-grams; the vocabulary kept is the one fitted."""
+        none = Vocabulary([], [])
+        return replace(self, **{WORD if block == CHAR else CHAR: none})
+
     def add_entries(self, df: DataFrame, text: str) -> DataFrame:
         """Add ``slots`` and ``weights``, the non-zero entries of the assembled vector, row by row."""
         n_word, n_terms = len(self.word.terms), len(self.word.terms) + len(self.char.terms)

@@ -5,30 +5,39 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    LinearSVC,
-    LinearSVCModel,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langweave.fixed_values import DETECTOR_NAME, SVM_C, SVM_MAX_ITER
 from langweave.functions import scores as sc
 from langweave.functions.text import NormalizeOptions, is_arabizi, normalize_text, script_of_dialect
+from langweave.operators import linear_fit
 from langweave.operators.features import FeatureModel, literal_array
 from langweave.operators.metrics import macro_f1
 from langweave.scratch import computed_once, small_side
+from langweave.sources.corpora import path_exists
+from langweave.sources.versions import current_version, publish
 
 SVM, SOFTMAX = "svm", "softmax"
+# No class's objective may lie above its minimum by more than this share.
+SVM_TOLERANCE = 1e-3
+
+
+@dataclass(frozen=True)
+class LinearPart:
+    """Coefficients by slot and the intercept of one class."""
+
+    coefficients: list[float]
+    intercept: float
 
 
 @dataclass
 class LanguageClassifier:
     """Features, one fitted classifier and its labels in index order.
 
-    ``parts`` holds one binary model per label for the SVM and a single model for the softmax.
+    ``parts`` holds a ``LinearPart`` per label, or a single fitted model of ``pyspark.ml`` for the softmax.
     """
 
     kind: str
@@ -38,8 +47,8 @@ class LanguageClassifier:
 
     def _weights(self) -> list[tuple[list[float], float]]:
         """Coefficients and intercept per class."""
-        if self.kind == SVM:
-            return [(part.coefficients.toArray().tolist(), part.intercept) for part in self.parts]
+        if isinstance(self.parts[0], LinearPart):
+            return [(part.coefficients, part.intercept) for part in self.parts]
         fitted = self.parts[0]
         return list(zip(fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()))
 
@@ -74,25 +83,54 @@ class LanguageClassifier:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.features.save(spark, f"{path}/features")
-        for i, part in enumerate(self.parts):
-            part.write().overwrite().save(f"{path}/part_{i}")
+        if isinstance(self.parts[0], LinearPart):
+            save_parts(spark, self.parts, f"{path}/linear")
+        else:
+            self.parts[0].write().overwrite().save(f"{path}/part_0")
         rows = [(self.kind, i, label) for i, label in enumerate(self.labels)]
         stored = spark.createDataFrame(rows, "kind string, label_id int, label string")
         stored.coalesce(1).write.parquet(f"{path}/labels")
 
 
-def save_model(spark: SparkSession, model: LanguageClassifier, path: str) -> None:
-    model.save(spark, path)
+def save_parts(spark: SparkSession, parts: Sequence[LinearPart], path: str) -> None:
+    """A row per class; a folder that is there already is replaced."""
+    rows = [(i, part.coefficients, float(part.intercept)) for i, part in enumerate(parts)]
+    stored = spark.createDataFrame(rows, "label_id int, coefficients array<double>, intercept double")
+    stored.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_parts(spark: SparkSession, path: str) -> list[LinearPart]:
+    rows = spark.read.parquet(path).orderBy("label_id").collect()
+    return [LinearPart(list(r["coefficients"]), r["intercept"]) for r in rows]
+
+
+def parts_of(weights: np.ndarray) -> list[LinearPart]:
+    """The rows of a weight matrix whose last slot is the intercept."""
+    return [LinearPart(row[:-1].tolist(), float(row[-1])) for row in weights]
+
+
+def weights_of(parts: Sequence[LinearPart]) -> np.ndarray:
+    return np.array([[*part.coefficients, part.intercept] for part in parts])
+
+
+def save_model(spark: SparkSession, model: LanguageClassifier, path: str) -> str:
+    """Store ``model`` under ``path`` in place of the one before, and return its version's folder.
+
+    Readers find the old or the new model, never parts of both: see ``publish``.
+    """
+    return publish(spark, path, lambda folder: model.save(spark, folder))
 
 
 def load_model(spark: SparkSession, path: str) -> LanguageClassifier:
+    """The model last saved under ``path``."""
+    path = current_version(spark, path)
     rows = spark.read.parquet(f"{path}/labels").orderBy("label_id").collect()
     kind, labels = rows[0]["kind"], [row["label"] for row in rows]
     features = FeatureModel.load(spark, f"{path}/features")
-    if kind == SOFTMAX:
-        parts = [LogisticRegressionModel.load(f"{path}/part_0")]
+    if path_exists(spark, f"{path}/linear"):
+        parts = load_parts(spark, f"{path}/linear")
     else:
-        parts = [LinearSVCModel.load(f"{path}/part_{i}") for i in range(len(labels))]
+        parts = [LogisticRegressionModel.load(f"{path}/part_0")]
     return LanguageClassifier(kind, features, parts, labels)
 
 
@@ -107,42 +145,48 @@ def _with_label_id(vectors: DataFrame, label: str, labels: Sequence[str]) -> Dat
     return vectors.withColumn("_label_id", (position - 1).cast("double"))
 
 
+def _svm_loss(vectors: DataFrame, label: str, c: float) -> tuple[list[str], linear_fit.Loss]:
+    """The classes, and the loss that weighs the positives of each by ``n / (k * n_c)``."""
+    counts = class_counts(vectors, label)
+    n = sum(counts.values())
+    return list(counts), linear_fit.Loss(linear_fit.HINGE, tuple(n / (len(counts) * k) for k in counts.values()), n, c)
+
+
 def train_linear_svm(
     vectors: DataFrame,
     label: str,
     features: FeatureModel,
     c: float = SVM_C,
     max_iter: int = SVM_MAX_ITER,
+    tol: float = SVM_TOLERANCE,
 ) -> LanguageClassifier:
-    """One linear SVM per class against the rest, positives weighted ``n / (k * n_c)``.
+    """One linear SVM per class against the rest: squared hinge, positives weighted ``n / (k * n_c)``.
 
-    The penalty ``1 / (C * total weight)`` makes ml's mean loss the usual ``C * sum of losses``.
+    All classes are fitted together, a pass over ``vectors`` at a time, until each objective is proven to lie within a
+    share of ``tol`` of its minimum, or ``max_iter`` passes are over; ``svm_certificate`` tells which.
     """
-    counts = class_counts(vectors, label)
-    labels, n = list(counts), sum(counts.values())
-
-    def fit(index: int):
-        positive = n / (len(labels) * counts[labels[index]])
-        total = positive * counts[labels[index]] + (n - counts[labels[index]])
-        is_class = F.col(label) == labels[index]
-        rows = vectors.select(
-            "features",
-            is_class.cast("double").alias("_y"),
-            F.when(is_class, F.lit(positive)).otherwise(F.lit(1.0)).alias("_weight"),
-        )
-        svm = LinearSVC(
-            featuresCol="features",
-            labelCol="_y",
-            weightCol="_weight",
-            regParam=1.0 / (c * total),
-            maxIter=max_iter,
-            tol=1e-4,
-            standardization=False,
-        )
-        return svm.fit(rows)
-
-    # One fit at a time: each keeps its own copy of the rows in memory while it lasts.
-    return LanguageClassifier(SVM, features, [fit(index) for index in range(len(labels))], labels)
+    labels, loss = _svm_loss(vectors, label, c)
+    rows = linear_fit.with_class_ids(vectors, label, labels)
+    fit = linear_fit.start(rows, loss, len(labels), features.size).run(max_iter, tol)
+    return LanguageClassifier(SVM, features, parts_of(fit.weights), labels)
+
+
+def svm_certificate(model: LanguageClassifier, vectors: DataFrame, label: str, c: float = SVM_C) -> DataFrame:
+    """``label, objective, gradient, excess``: how far each class of a fitted SVM may be from its optimum.
+
+    One aggregation over the vectors gives objective and gradient of all classes at the model's weights. The objective is
+    curved by one or more in every direction, so it lies above its minimum by at most half the squared gradient;
+    ``excess`` is that as a share of the objective.
+    """
+    labels, loss = _svm_loss(vectors, label, c)
+    if labels != model.labels:
+        raise ValueError(f"the vectors have classes {labels}, the model {model.labels}")
+    fit = linear_fit.start(
+        linear_fit.with_class_ids(vectors, label, labels), loss, len(labels), model.features.size, weights_of(model.parts)
+    ).run(1, 0.0)
+    lengths = np.sqrt((fit.gradient**2).sum(axis=1))
+    rows = [(x, float(v), float(g), float(e)) for x, v, g, e in zip(labels, fit.value, lengths, fit.bound())]
+    return vectors.sparkSession.createDataFrame(rows, "label string, objective double, gradient double, excess double")
 
 
 def train_softmax(
@@ -165,27 +209,38 @@ def compare_models(
     expected: str,
     options: NormalizeOptions = NormalizeOptions(),
 ) -> DataFrame:
-    """``model, key, expected, pred, confidence, ok``: each model over the same labelled raw texts, which are read,
-    normalised and cut into n-grams once. Confidence is the top probability; an SVM has none.
+    """``model, key, expected, pred, confidence, ok``: each model over the same labelled raw texts.
+
+    The models may be built on different features. Texts are read and normalised once, every distinct set of features
+    adds its entries to the row, and all models score the row in the same pass. Confidence is the top probability; an SVM
+    has none.
     """
-    normalised = computed_once(
+    rows = computed_once(
         phrases.select(key, F.col(expected).alias("expected"), text), "_norm", normalize_text(F.col(text), options)
     )
-    shared = next(iter(models.values())).features
-    if any(model.features is not shared for model in models.values()):
-        raise ValueError("the models must share one set of fitted features")
-    scored = score_all(models, shared.add_entries(normalised, "_norm"), "slots", "weights")
+    places: dict[int, tuple[str, str]] = {}
+    for model in models.values():
+        if id(model.features) not in places:
+            at = len(places)
+            places[id(model.features)] = (f"_slots_{at}", f"_weights_{at}")
+            rows = model.features.add_entries(rows, "_norm").withColumnsRenamed(
+                {"slots": f"_slots_{at}", "weights": f"_weights_{at}"}
+            )
+    scored = score_all(models, rows, {name: places[id(model.features)] for name, model in models.items()})
     return scored.select(
         "model", key, "expected", "pred", "confidence", F.col("pred").eqNullSafe(F.col("expected")).alias("ok")
     )
 
 
-def score_all(models: Mapping[str, LanguageClassifier], entries: DataFrame, slots: str, weights: str) -> DataFrame:
+def score_all(
+    models: Mapping[str, LanguageClassifier], entries: DataFrame, places: Mapping[str, tuple[str, str]]
+) -> DataFrame:
     """``entries`` once per model, with ``model``, ``pred`` and ``confidence``: every model scores the row in the same
-    pass over its entries. Confidence is the top probability; an SVM has none."""
+    pass, from the columns with its slots and weights that ``places`` names. Confidence is the top probability; an SVM
+    has none."""
     given, records = entries.columns, []
     for i, (name, model) in enumerate(models.items()):
-        entries = model.add_scores(entries, slots, weights).withColumnRenamed("scores", f"_scores{i}")
+        entries = model.add_scores(entries, *places[name]).withColumnRenamed("scores", f"_scores{i}")
         top = sc.label_at(sc.argmax(F.col(f"_scores{i}")), model.labels)
         confidence = F.array_max(f"_scores{i}") if model.kind == SOFTMAX else F.lit(None).cast("double")
         records.append(F.struct(F.lit(name).alias("model"), top.alias("pred"), confidence.alias("confidence")))
@@ -201,7 +256,7 @@ def select_best_model(
     """
     entries = computed_once(valid_vectors.select(label, "features"), "_v", F.unwrap_udt("features"))
     entries = entries.select(label, F.col("_v.indices").alias("slots"), F.col("_v.values").alias("weights"))
-    scored = score_all(candidates, entries, "slots", "weights")
+    scored = score_all(candidates, entries, {name: ("slots", "weights") for name in candidates})
     scored = scored.select("model", F.col(label).alias("y"), F.col("pred").alias("p"))
     values = macro_f1(scored, by=["model"])
     best = values.orderBy(F.desc("macro_f1"), "model").first()["model"]

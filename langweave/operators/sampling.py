@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from langweave.fixed_values import SEED, SPLIT_RATIOS
-from langweave.scratch import small_side
+from langweave.scratch import materialize, small_side
 
 PREFIX_DIGITS = 4
 
@@ -47,19 +47,24 @@ def _prefix_counts(keyed: DataFrame) -> DataFrame:
     )
 
 
-def _cut_values(df: DataFrame, key: str, group: Column, ranks: Mapping[str, Column], seed: int) -> DataFrame:
+def _cut_values(
+    df: DataFrame, key: str, group: Column, ranks: Mapping[str, Column], seed: int, quotas: DataFrame | None = None
+) -> DataFrame:
     """The (hash, key) found at each named rank of every group, and how many rows it reaches beyond the rank (none
     unless the key is repeated); a rank of 0 gives no row.
 
-    ``ranks`` are expressions over ``_size``, the number of rows of the group.
+    ``ranks`` are expressions over ``_size``, the number of rows of the group, and ``_quota``, that of the group's row
+    in ``quotas`` (``_of``, ``_quota``), where given.
     """
     keyed = _keyed(df, key, group, seed)
+    counts = _prefix_counts(keyed)
+    if quotas is not None:
+        counts = counts.join(small_side(quotas), F.col("_group").eqNullSafe(F.col("_of"))).drop("_of")
     named = F.array(
         *[F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank")) for n, r in ranks.items()]
     )
     cuts = (
-        _prefix_counts(keyed)
-        .select("*", F.inline(named).alias("_name", "_rank"))
+        counts.select("*", F.inline(named).alias("_name", "_rank"))
         .filter((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_rows")))
         .select(
             F.col("_group").alias("_cut_group"),
@@ -146,20 +151,17 @@ def exact_per_group(df: DataFrame, key: str, group: str, rows: Column, seed: int
     """The first rows of every group in the seeded order, as many as ``rows`` says (an expression over ``_size``, the
     group's rows, ``_total``, those of all, and ``_least``, those of the smallest). Null groups are left out.
 
-    Like the split, this compares rows with a cut value per group and shuffles none.
+    Like the split, this compares rows with a cut value per group and shuffles none. Quotas are a table with a row for
+    each group, joined with the counts and broadcast only if small; two numbers of all groups come to the driver.
     """
     known = df.filter(F.col(group).isNotNull())
-    sizes = known.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size")).collect()  # one row a group
-    facts = [(r["_of"], r["_size"], sum(x["_size"] for x in sizes), min(x["_size"] for x in sizes)) for r in sizes]
-    if not facts:
+    sizes = materialize(known.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size")), "group-sizes")
+    whole = sizes.agg(F.sum("_size").alias("total"), F.min("_size").alias("least")).first()
+    if whole["total"] is None:
         return known
-    kind = df.schema[group].dataType.simpleString()
-    wanted = df.sparkSession.createDataFrame(facts, f"_of {kind}, _size long, _total long, _least long")
-    counts = {r["_of"]: r["_rows"] for r in wanted.select("_of", rows.cast("long").alias("_rows")).collect()}
-    rank = F.lit(0)
-    for value, count in counts.items():
-        rank = F.when(F.col("_group") == value, F.lit(count)).otherwise(rank)
-    cuts = _cut_values(known, key, F.col(group), {"n": F.least(rank, F.col("_size"))}, seed)
+    facts = sizes.withColumns({"_total": F.lit(whole["total"]), "_least": F.lit(whole["least"])})
+    quotas = facts.select("_of", F.least(rows.cast("long"), F.col("_size")).alias("_quota"))
+    cuts = _cut_values(known, key, F.col(group), {"n": F.col("_quota")}, seed, quotas)
     side = small_side(cuts.select(F.col("_group").alias("_of"), "_at_hash", "_at_key"))
     joined = known.join(side, F.col(group) == F.col("_of"))
     inside = _up_to(order_hash(F.col(key), seed), F.col(key), F.col("_at_hash"), F.col("_at_key"))

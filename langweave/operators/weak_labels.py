@@ -86,10 +86,33 @@ def write_gold_sample(sample: DataFrame, path: str) -> None:
     write_csv(sample, path)
 
 
+def settled_labels(labelled: DataFrame) -> DataFrame:
+    """``id, gold_label, votes, against`` for every id of hand-labelled rows (``id``, ``label``), a row each.
+
+    Outer blanks of a label don't count, and a blank or null label is no vote. The label given most often wins; where
+    several were given equally often, nobody has decided and ``gold_label`` is null. Rows are counted by id and label
+    before they meet by id, so an id labelled very often costs a row for each of its labels.
+    """
+    given = labelled.select("id", F.trim("label").alias("label")).filter("id is not null and label <> ''")
+    votes = given.groupBy("id", "label").agg(F.count("*").alias("votes"))
+    # Of the most frequent labels the first and the last in order are the same where there is one only.
+    top = votes.groupBy("id").agg(
+        F.max("votes").alias("votes"),
+        F.sum("votes").alias("all"),
+        F.max_by("label", F.struct("votes", "label")).alias("last"),
+        F.min_by("label", F.struct(-F.col("votes"), "label")).alias("first"),
+    )
+    label = F.when(F.col("first") == F.col("last"), F.col("first"))
+    return top.select("id", label.alias("gold_label"), "votes", (F.col("all") - F.col("votes")).alias("against"))
+
+
 def ingest_gold(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Rows whose key is in the labelled CSV, with ``gold_label``; an empty label is none."""
-    labelled = scan_csv_optional(df.sparkSession, path, GOLD_COLUMNS)
-    labelled = labelled.filter(F.trim("label") != "").select(F.col("id").alias("_gold_id"), F.col("label").alias("gold_label"))
+    """Rows whose key has a settled label in the labelled CSV, with ``gold_label``, one row for each row of ``df``.
+
+    See ``settled_labels`` for blanks and conflicts; rows without a decision are left out. A missing file gives no rows.
+    """
+    labelled = settled_labels(scan_csv_optional(df.sparkSession, path, GOLD_COLUMNS)).filter("gold_label is not null")
+    labelled = labelled.select(F.col("id").alias("_gold_id"), "gold_label")
     return df.join(labelled, F.col(key).cast("string") == F.col("_gold_id")).drop("_gold_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +13,7 @@ from langweave.functions.text import is_arabizi, normalize_text, prompt_key
 from langweave.operators.models import LanguageClassifier, detection
 from langweave.operators.turns import check_requests, split_checked
 from langweave.scratch import computed_once
+from langweave.sources.corpora import path_exists
 
 # Adds an array column ``scores`` of class probabilities to rows with ``text_norm``.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -32,31 +33,61 @@ def classifier_scorer(model: LanguageClassifier) -> Scorer:
     return lambda rows: model.predict(rows, "text_norm").drop("pred")
 
 
+COMMIT_SCHEMA = "accepted long, rejected long, run string, batch_id long"
+
+
+def _write(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").parquet(folder)
+
+
+def read_committed(spark: SparkSession, path: str, commits: str) -> DataFrame:
+    """The rows of a sink that belong to finished batches: both sinks are written and logged in ``commits``.
+
+    The log is a row for each batch; the join with it prunes the folders of other batches. Without a log yet, no rows.
+    """
+    rows = spark.read.option("basePath", path).parquet(path)
+    if not path_exists(spark, commits):
+        return rows.limit(0)
+    log = spark.read.schema(COMMIT_SCHEMA).option("basePath", commits).parquet(commits)
+    return rows.join(log.select("run", "batch_id"), ["run", "batch_id"], "left_semi")
+
+
 def stream_detect(
     requests: DataFrame,
     score: Scorer,
     labels: Sequence[str],
     accepted_path: str,
     rejected_path: str,
+    commits_path: str,
     checkpoint: str,
     body: str = "body",
 ) -> StreamingQuery:
     """Start a query that routes the accepted requests and writes the rejected ones elsewhere.
 
-    A micro-batch is read and checked once and kept while both parts are written. Each overwrites folders
-    named by its checkpoint and batch id, so a batch repeated after a failure replaces its own output:
-    every request appears exactly once, and a query with another checkpoint overwrites nothing. How much
-    a batch takes is set on the source (``maxFilesPerTrigger``).
+    A micro-batch is read and checked once and kept while both parts are written, each to a folder named by checkpoint
+    and batch id; then one row in ``commits_path`` says that the batch is whole. ``read_committed`` shows batches that
+    have that row, so no reader sees half a batch. A batch repeated after a failure overwrites the folders it had left
+    without the row, and one that has it is left alone: every request appears exactly once. A query with another
+    checkpoint overwrites nothing. How much a batch takes is set on the source (``maxFilesPerTrigger``).
     """
-    run = f"run={hashlib.md5(checkpoint.encode()).hexdigest()}"
+    run = f"q{hashlib.md5(checkpoint.encode()).hexdigest()}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, place = batch.sparkSession, f"run={run}/batch_id={batch_id}"
+        # The row's file appears by one rename when its job ends, and so does the mark of that job.
+        if path_exists(spark, f"{commits_path}/{place}/_SUCCESS"):
+            return
         checked = check_requests(batch, body).persist()
-        accepted, rejected = split_checked(checked, batch.columns)
-        routed = route_messages(accepted, score, labels)
-        routed.write.mode("overwrite").parquet(f"{accepted_path}/{run}/batch_id={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/{run}/batch_id={batch_id}")
-        checked.unpersist()
+        try:
+            accepted, rejected = split_checked(checked, batch.columns)
+            _write(route_messages(accepted, score, labels), f"{accepted_path}/{place}")
+            _write(rejected, f"{rejected_path}/{place}")
+            done = checked.agg(
+                F.count("text").alias("accepted"), (F.count("*") - F.count("text")).alias("rejected")
+            )
+            _write(done.coalesce(1), f"{commits_path}/{place}")
+        finally:
+            checked.unpersist()
 
     return (
         requests.writeStream.foreachBatch(write_batch)

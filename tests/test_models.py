@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +6,7 @@ from langweave.fixed_values import LABELS, ROBUSTNESS_PHRASES
 from langweave.functions import scores as sc
 from langweave.functions.text import normalize_text
 from langweave.operators import features as ft
-from langweave.operators import metrics, models, turns
+from langweave.operators import linear_fit, metrics, models, turns
 from langweave.plans import training
 from langweave.streaming import turns as streaming
 
@@ -35,7 +36,7 @@ def tables(corpus):
 
 @pytest.fixture(scope="module")
 def svm(tables):
-    return training.fit_svm(tables, max_iter=100)
+    return training.fit_svm(tables)
 
 
 @pytest.fixture(scope="module")
@@ -57,10 +58,107 @@ def test_row_scores_equal_ml_transform(softmax, svm, tables):
     for key in mine:
         assert mine[key] == pytest.approx(theirs[key])
     margins = {r["id"]: r["scores"][2] for r in svm.score_vectors(tables.valid).collect()}
-    raw = {r["id"]: float(r["rawPrediction"][1]) for r in svm.parts[2].transform(tables.valid).collect()}
+    part = svm.parts[2]
+    raw = {r["id"]: r["features"].dot(part.coefficients) + part.intercept for r in tables.valid.collect()}
     assert margins == pytest.approx(raw)
 
 
+def dense(tables, labels):
+    rows = tables.train.collect()
+    x = np.array([[*r["features"].toArray(), 1.0] for r in rows])
+    return x, np.array([labels.index(r["label_original"]) for r in rows])
+
+
+def test_svm_objective_gradient_and_bound(svm, tables):
+    """Against a plain computation; the proven bound holds against a fit gone on with to rounding."""
+    x, y = dense(tables, svm.labels)
+    rows = {r["label"]: r for r in models.svm_certificate(svm, tables.train, training.LABEL).collect()}
+    best = training.fit_svm(tables)
+    tight = models.train_linear_svm(tables.train, training.LABEL, tables.features, tol=1e-10)
+    for k, label in enumerate(svm.labels):
+        sign = np.where(y == k, 1.0, -1.0)
+        weight = np.where(y == k, len(y) / (len(svm.labels) * (y == k).sum()), 1.0)
+
+        def at(model):
+            w = np.array([*model.parts[k].coefficients, model.parts[k].intercept])
+            short = np.maximum(0, 1 - sign * (x @ w))
+            return (w @ w) / 2 + (weight * short**2).sum(), w - 2 * x.T @ (weight * sign * short)
+
+        value, gradient = at(svm)
+        assert rows[label]["objective"] == pytest.approx(value) and rows[label]["gradient"] == pytest.approx(np.linalg.norm(gradient))
+        assert 0 <= (value - at(tight)[0]) / value <= rows[label]["excess"] <= models.SVM_TOLERANCE
+        assert at(best)[0] == value
+
+
+def test_an_unfinished_svm_has_no_certificate(tables):
+    few = training.fit_svm(tables, max_iter=4)
+    excess = [r["excess"] for r in models.svm_certificate(few, tables.train, training.LABEL).collect()]
+    assert max(excess) > models.SVM_TOLERANCE
+
+
+def test_softmax_gradient_equals_differences(tables):
+    labels = sorted(LABELS)
+    rows = linear_fit.with_class_ids(tables.train, training.LABEL, labels)
+    loss = linear_fit.Loss(linear_fit.SOFTMAX_LOSS, (), tables.train.count(), reg=0.01)
+    weights = np.random.default_rng(0).standard_normal((len(labels), tables.features.size + 1))
+    _, gradient = linear_fit.evaluate(rows, weights, loss)
+    for k, slot in ((0, 3), (2, tables.features.size), (3, 150)):
+        values = []
+        for sign in (1, -1):
+            moved = weights.copy()
+            moved[k, slot] += sign * 1e-5
+            values.append(linear_fit.evaluate(rows, moved, loss)[0].sum())
+        assert gradient[k, slot] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-7)
+
+
+def test_solver_reaches_the_optimum_of_pyspark(tables):
+    reg, labels = 0.05, sorted(LABELS)
+    rows = linear_fit.with_class_ids(tables.train, training.LABEL, labels)
+    loss = linear_fit.Loss(linear_fit.SOFTMAX_LOSS, (), tables.train.count(), reg=reg)
+    fit = linear_fit.start(rows, loss, len(labels), tables.features.size).run(300, 1e-9)
+    scaled = models.LogisticRegression(
+        featuresCol="features", labelCol="y", family="multinomial", regParam=reg, maxIter=500, tol=1e-12, standardization=False
+    )
+    theirs = scaled.fit(models._with_label_id(tables.train, training.LABEL, labels).withColumnRenamed("_label_id", "y"))
+    found, wanted = fit.weights[:, :-1], theirs.coefficientMatrix.toArray()
+    assert np.abs((found - found.mean(0)) - (wanted - wanted.mean(0))).max() < 1e-3
+
+
+def test_best_step_is_kept_and_a_broken_fit_goes_on(tables, tmp_path, monkeypatch):
+    """The valid rows get worse after the second step; a second run reads the stored steps."""
+    given, calls, passes = iter([0.5, 0.9, 0.7, 0.9]), [], []
+    real = training.macro_f1
+
+    def judged(rows):
+        assert real(rows).first()["macro_f1"] is not None
+        score = next(given)
+        calls.append(score)
+        return rows.sparkSession.createDataFrame([(score,)], "macro_f1 double")
+
+    monkeypatch.setattr(training, "macro_f1", judged)
+    model, values = training.fit_in_steps(tables, str(tmp_path / "steps"), (1e-2, 1e-3), steps=2, passes=3)
+    rows = {r["model"]: (r["macro_f1"], r["best"]) for r in values.collect()}
+    assert rows == {
+        "reg=0.01 step=1": (0.5, False), "reg=0.01 step=2": (0.9, True), "reg=0.001 step=1": (0.7, False), "reg=0.001 step=2": (0.9, False),
+    }
+    stored = models.load_parts(tables.train.sparkSession, str(tmp_path / "steps" / "1"))
+    assert model.parts == stored and stored != models.load_parts(tables.train.sparkSession, str(tmp_path / "steps" / "3"))
+    given = iter([0.1, 0.2, 0.3, 0.4])
+    monkeypatch.setattr(linear_fit.Fit, "run", lambda self, *a: passes.append(a) or self)
+    again, _ = training.fit_in_steps(tables, str(tmp_path / "steps"), (1e-2, 1e-3), steps=2, passes=3)
+    assert not passes and again.parts == models.load_parts(tables.train.sparkSession, str(tmp_path / "steps" / "3"))
+
+
+def test_a_warm_start_begins_lower(tables):
+    labels = sorted(LABELS)
+    rows = linear_fit.with_class_ids(tables.train, training.LABEL, labels)
+    loose, tight = (linear_fit.Loss(linear_fit.SOFTMAX_LOSS, (), tables.train.count(), reg=r) for r in (1e-2, 1e-3))
+    before = linear_fit.start(rows, loose, len(labels), tables.features.size).run(10, 1e-6)
+    warm = linear_fit.start(rows, tight, len(labels), tables.features.size, before.weights).run(1, 0.0)
+    cold = linear_fit.start(rows, tight, len(labels), tables.features.size).run(1, 0.0)
+    assert warm.value.sum() < cold.value.sum()
+
+
 @pytest.mark.parametrize("kind", ["svm", "softmax"])
 def test_save_and_load(request, spark, tables, tmp_path, kind):
     model = request.getfixturevalue(kind)
@@ -71,6 +169,38 @@ def test_save_and_load(request, spark, tables, tmp_path, kind):
     assert before == after
 
 
+def test_saving_again_and_a_save_cut_off(spark, svm, softmax, tables, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    first = models.save_model(spark, svm, path)
+    models.save_model(spark, softmax, path)
+    assert models.load_model(spark, path).kind == models.SOFTMAX
+    monkeypatch.setattr(models, "save_parts", lambda *a: (_ for _ in ()).throw(OSError("disk full")))
+    with pytest.raises(OSError):
+        models.save_model(spark, svm, path)
+    monkeypatch.undo()
+    assert models.load_model(spark, path).kind == models.SOFTMAX
+    # A reader that had opened the first version still finds it.
+    assert models.load_parts(spark, f"{first}/linear") == svm.parts
+    with pytest.raises(FileNotFoundError):
+        models.load_model(spark, str(tmp_path / "nothing"))
+
+
+def test_models_of_different_features_score_in_one_pass(spark, corpus, tables, softmax):
+    words = models.LanguageClassifier(models.SOFTMAX, tables.features.only(ft.WORD), softmax.parts, softmax.labels)
+    tables_w = training.vector_tables(corpus, tables.features.only(ft.WORD))
+    tables_c = training.vector_tables(corpus, tables.features.only(ft.CHAR))
+    fitted = {"w": training.fit_svm(tables_w), "c": training.fit_softmax(tables_c)[0], "both": softmax}
+    texts = corpus.select("id", "text_raw", "label_original").union(spark.createDataFrame([("n", None, "EN")], "a string, b string, c string"))
+    compared = models.compare_models(fitted, texts, "id", "text_raw", "label_original")
+    rows = {(r["model"], r["id"]): r["pred"] for r in compared.collect()}
+    for name, model in fitted.items():
+        alone = model.predict(corpus.select("id", "text_norm"), "text_norm")
+        assert {r["id"]: r["pred"] for r in alone.collect()} == {i: p for (m, i), p in rows.items() if m == name and i != "n"}
+    assert len(rows) == 3 * (corpus.count() + 1) and words.features.size < softmax.features.size
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0
+
+
 def test_dialect_phrases_through_both_models(spark, svm, softmax):
     phrases = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(ROBUSTNESS_PHRASES)], "id int, phrase string, expected string")
     rows = models.compare_models({"svm": svm, "softmax": softmax}, phrases, "id", "phrase", "expected")
@@ -104,9 +234,9 @@ def test_stream_equals_batch(spark, softmax, tmp_path):
 
     def run():
         stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        paths = [str(tmp_path / p) for p in ("accepted", "rejected", "checkpoint")]
+        paths = [str(tmp_path / p) for p in ("accepted", "rejected", "commits", "checkpoint")]
         streaming.stream_detect(stream, score, softmax.labels, *paths).awaitTermination()
-        return spark.read.parquet(paths[0]).drop("run", "batch_id"), spark.read.parquet(paths[1]).drop("run", "batch_id")
+        return [streaming.read_committed(spark, path, paths[2]).drop("run", "batch_id") for path in paths[:2]]
 
     run()
     requests.filter("turn_id = 't0'").withColumn("turn_id", F.lit("t9")).coalesce(1).write.mode("append").parquet(source)
@@ -125,11 +255,60 @@ def test_a_fresh_checkpoint_overwrites_nothing(spark, softmax, tmp_path):
         rows = spark.createDataFrame([(f"t{k}", '{"text":"what are the best"}')], "turn_id string, body string")
         rows.write.parquet(str(tmp_path / f"in{k}"))
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{k}"))
-        paths = [str(tmp_path / p) for p in ("accepted", "rejected", f"checkpoint{k}")]
+        paths = [str(tmp_path / p) for p in ("accepted", "rejected", "commits", f"checkpoint{k}")]
         streaming.stream_detect(stream, score, softmax.labels, *paths).awaitTermination()
     assert {r["turn_id"] for r in spark.read.parquet(str(tmp_path / "accepted")).collect()} == {"t1", "t2"}
 
 
+@pytest.mark.parametrize("fails_at", ["rejected", "commits"])
+def test_a_stop_between_the_sinks_shows_no_half_batch(spark, softmax, tmp_path, monkeypatch, fails_at):
+    rows = spark.createDataFrame([("t1", '{"text":"what are the best"}'), ("t2", "{}")], "turn_id string, body string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / p) for p in ("accepted", "rejected", "commits", "checkpoint")]
+    write = streaming._write
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        streaming.stream_detect(stream, streaming.classifier_scorer(softmax), softmax.labels, *paths).awaitTermination()
+
+    def stopping(frame, folder):
+        if f"/{fails_at}/" in folder:
+            raise OSError("the writer stops")
+        write(frame, folder)
+
+    monkeypatch.setattr(streaming, "_write", stopping)
+    with pytest.raises(Exception, match="the writer stops"):
+        run()
+    # The accepted part is there, but no reader takes it for a batch.
+    assert spark.read.parquet(paths[0]).count() == 1
+    assert streaming.read_committed(spark, paths[0], paths[2]).count() == 0
+    monkeypatch.setattr(streaming, "_write", write)
+    run()
+    run()
+    found = [[r["turn_id"] for r in streaming.read_committed(spark, p, paths[2]).collect()] for p in paths[:2]]
+    assert found == [["t1"], ["t2"]]
+    log = spark.read.parquet(paths[2]).select("accepted", "rejected").collect()
+    assert [tuple(r) for r in log] == [(1, 1)]
+
+
+def test_a_batch_that_is_committed_is_not_written_again(spark, softmax, tmp_path, monkeypatch):
+    """The query stops after the commit row and before its own checkpoint knows of the batch."""
+    rows = spark.createDataFrame([("t1", '{"text":"what are the best"}')], "turn_id string, body string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / p) for p in ("accepted", "rejected", "commits", "checkpoint")]
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        streaming.stream_detect(stream, streaming.classifier_scorer(softmax), softmax.labels, *paths).awaitTermination()
+
+    run()
+    for mark in (tmp_path / "checkpoint" / "commits").iterdir():
+        mark.unlink()
+    monkeypatch.setattr(streaming, "_write", lambda *a: pytest.fail("written twice"))
+    run()
+    assert streaming.read_committed(spark, paths[0], paths[2]).count() == 1
+
+
 def test_fit_is_bounded_and_vocabulary_is_not(corpus):
     options = ft.FeatureOptions(max_features=300)
     bounded = training.prepare_training(corpus, options, max_train_rows=10)

@@ -113,3 +113,21 @@ def test_counting_passes_read_keys_only(spark, tmp_path):
     counted = sampling._prefix_counts(sampling._keyed(table, "id", F.col("label"), 42))
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan
+
+
+def test_quotas_of_very_many_labels(spark):
+    """100 000 labels, one of them hot; nothing about single labels comes to the driver."""
+    hot = spark.range(5000).select(F.col("id"), F.lit("hot").alias("label"))
+    many = spark.range(5000, 205_000).select("id", F.concat(F.lit("l"), (F.col("id") % 100_000)).alias("label"))
+    rows = hot.unionByName(many).unionByName(spark.range(-10, 0).select("id", F.lit(None).cast("string").alias("label")))
+    least = sampling.exact_per_group(rows, "id", "label", F.col("_least"))
+    counts = least.groupBy("label").count().groupBy("count").count().collect()
+    assert [tuple(r) for r in counts] == [(2, 100_001)]
+    assert {r["id"] for r in least.filter("label = 'hot'").collect()} == set(order(range(5000))[:2])
+    share = sampling.exact_per_group(rows, "id", "label", F.ceil(F.col("_size") * 410 / F.col("_total")))
+    assert share.filter("label = 'hot'").count() == 10 and share.count() == 100_010
+
+
+def test_quotas_of_an_empty_table_and_of_null_labels(spark):
+    empty = spark.createDataFrame([(1, None)], "id long, label string")
+    assert sampling.exact_per_group(empty, "id", "label", F.col("_least")).count() == 0

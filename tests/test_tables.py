@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from langweave.fixed_values import REJECT_MESSAGE, SYSTEM_PROMPTS
-from langweave.operators import cleaning, lookups, metrics, turns
+from langweave.operators import cleaning, lookups, metrics, turns, weak_labels
 from langweave.operators.sampling import sample_exact
 from langweave.plans import corpus as corpus_plan
 from langweave.sources import corpora
@@ -137,3 +137,17 @@ def test_a_body_that_names_its_text_twice_is_rejected(spark):
     df = spark.createDataFrame([(1, '{"text":"a","text":"b"}'), (2, '{"text":"c"}')], "id int, body string")
     accepted, rejected = turns.validate_requests(df)
     assert [r["text"] for r in accepted.collect()] == ["c"] and [r["id"] for r in rejected.collect()] == [1]
+
+
+def test_gold_labels_settle_conflicts(spark, tmp_path):
+    rows = [
+        ("1", "t", "FR"), ("1", "t", " FR "), ("2", "t", "FR"), ("2", "t", "EN"), ("3", "t", "EN"), ("3", "t", "FR"), ("3", "t", "EN"),
+        ("4", "t", " "), ("4", "t", None), ("5", "t", ""), ("5", "t", "MIX"), (None, "t", "EN"), ("9", "t", "EN"),
+    ]
+    corpora.write_csv(spark.createDataFrame(rows, "id string, text_raw string, label string"), str(tmp_path / "gold"))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 3, 4, 5, 6, None)], "doc_id long, text string")
+    found = weak_labels.ingest_gold(docs.unionByName(docs.filter("doc_id = 1")), str(tmp_path / "gold"), "doc_id")
+    assert sorted(map(tuple, found.collect())) == [(1, "text 1", "FR"), (1, "text 1", "FR"), (3, "text 3", "EN"), (5, "text 5", "MIX")]
+    settled = weak_labels.settled_labels(spark.createDataFrame(rows, "id string, text_raw string, label string"))
+    assert {tuple(r) for r in settled.filter("id in ('2', '3')").collect()} == {("2", None, 1, 1), ("3", "EN", 2, 1)}
+    assert weak_labels.ingest_gold(docs, str(tmp_path / "none"), "doc_id").count() == 0

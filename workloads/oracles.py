@@ -355,7 +355,8 @@ ORACLES: dict[str, str] = {
     "train_linear_svm": with_(MIXED_CTE, UNIFIED_CTE, UCORPUS_CTE) + SUPPORTS,
     "train_softmax": with_(MIXED_CTE, UNIFIED_CTE, UCORPUS_CTE) + SUPPORTS,
     "select_best_model": "select model, 1::bigint as n_best, true as best_is_max from "
-    "(values ('reg=0.01'), ('reg=0.001'), ('reg=0.0001')) as candidates(model)",
+    "(select concat(reg, ' step=', step) as model from (values ('reg=0.01'), ('reg=0.001'), ('reg=0.0001')) as regs(reg), "
+    "(values ('1'), ('2'), ('3')) as steps(step))",
     "save_model": with_(
         MIXED_CTE,
         UNIFIED_CTE,
@@ -372,7 +373,16 @@ ORACLES: dict[str, str] = {
       true as script_follows from turns""",
     "compare_models": with_(MIXED_CTE)
     + """select model, doc_id, label_original as expected, true as consistent
-      from mixed, (values ('svm'), ('softmax')) as models(model) where text is not null""",
+      from mixed, (values ('svm on words'), ('softmax on characters')) as models(model) where text is not null""",
+    "external_model": with_(
+        MIXED_CTE,
+        """lettered as (select doc_id, text, length(regexp_replace(text, '[^aeiou]', '', 'g')) as v,
+          length(regexp_replace(text, '[^b-df-hj-np-tv-z]', '', 'g')) as c, length(regexp_replace(text, '[^0-9]', '', 'g')) as d
+          from mixed)""",
+    )
+    + """select doc_id, 3 * v + c + 5 * d as n_points, case when v >= greatest(c, d) then 'vowels' when d >= c then 'digits'
+        else 'consonants' end as top, round(v / nullif(length(text), 0), 6) as vowel_share from lettered where text is not null
+      union all select doc_id, null, null, null from mixed where text is null""",
     "dialect_msa_classifier": with_(
         MIXED_CTE, CLEANED_CTE, SPLIT_CTE, f"arabic as (select *, {ratio('text_norm', ARABIC)} as arab from corpus)"
     )
@@ -384,7 +394,8 @@ ORACLES: dict[str, str] = {
     "gold_sample": with_(MIXED_CTE)
     + f"select doc_id, label_original, md5(text) as h from ({per_group('mixed', f'ceil(n * {GOLD_SAMPLES} / total)')})",
     "ingest_gold": with_(MIXED_CTE)
-    + "select doc_id, label_original as gold_label, md5(text) as h from mixed where doc_id % 3 = 0",
+    + """select doc_id, case when doc_id % 4 = 3 then 'MIX' else label_original end as gold_label, md5(text) as h
+      from mixed where doc_id % 4 <> 2""",
     "rebalance_classes": with_(MIXED_CTE)
     + f"select doc_id, label_original, md5(text) as h from ({per_group('mixed', 'smallest')})",
     "postprocess_predictions": with_(

@@ -12,6 +12,7 @@ from langweave.fixed_values import LABELS
 from langweave.functions import scores as sc
 from langweave.functions import text as tx
 from langweave.operators import cleaning, features, lookups, metrics, models, sampling, turns, weak_labels
+from langweave.operators.model_hook import score_with
 from langweave.plans import corpus as corpus_plan
 from langweave.plans import training
 from langweave.scratch import computed_once, materialize, scratch_path
@@ -523,8 +524,6 @@ def assemble_features(spark, sf_dir):
 
 # On these corpora of four scripts and languages both classifiers must separate the classes at least so well.
 MIN_MACRO_F1 = 0.9
-# Passes after which the registered queries stop the SVM solver; the bound above holds long before.
-SVM_PASSES = 100
 _FITTED: dict[tuple[str, str, str], object] = {}
 
 
@@ -545,11 +544,25 @@ def _tables(spark, sf_dir) -> training.TrainingTables:
 
 
 def _svm(spark, sf_dir):
-    return _once(spark, sf_dir, "svm", lambda: training.fit_svm(_tables(spark, sf_dir), max_iter=SVM_PASSES))
+    return _once(spark, sf_dir, "svm", lambda: training.fit_svm(_tables(spark, sf_dir)))
 
 
 def _softmax(spark, sf_dir):
-    return _once(spark, sf_dir, "softmax", lambda: training.fit_softmax(_tables(spark, sf_dir), (1e-2, 1e-3, 1e-4)))
+    """The best step of a fit in steps, and the values of all steps."""
+    fit = lambda: training.fit_in_steps(_tables(spark, sf_dir), scratch_path(spark, "softmax-steps"))
+    return _once(spark, sf_dir, "softmax", fit)
+
+
+def _by_blocks(spark, sf_dir):
+    """An SVM on words and a softmax on characters."""
+
+    def fitted():
+        corpus, shared = _corpus(spark, sf_dir), _tables(spark, sf_dir).features
+        words = training.vector_tables(corpus, shared.only(features.WORD))
+        chars = training.vector_tables(corpus, shared.only(features.CHAR))
+        return {"svm on words": training.fit_svm(words), "softmax on characters": training.fit_softmax(chars)[0]}
+
+    return _once(spark, sf_dir, "by blocks", fitted)
 
 
 def _judged(predictions: DataFrame) -> DataFrame:
@@ -561,17 +574,25 @@ def _judged(predictions: DataFrame) -> DataFrame:
 
 @query
 def train_linear_svm(spark, sf_dir):
-    return _judged(training.predictions(_svm(spark, sf_dir), _tables(spark, sf_dir).valid))
+    """A class passes where the fit is also proven to be near its optimum."""
+    tables, svm = _tables(spark, sf_dir), _svm(spark, sf_dir)
+    proven = models.svm_certificate(svm, tables.train, training.LABEL).select(
+        F.col("label").alias("_l"), (F.col("excess") <= models.SVM_TOLERANCE).alias("_near")
+    )
+    judged = _judged(training.predictions(svm, tables.valid)).join(F.broadcast(proven), F.col("label") == F.col("_l"), "left")
+    return judged.select("label", "support", (F.col("passes") & F.coalesce("_near", F.lit(False))).alias("passes"))
 
 
 @query
 def train_softmax(spark, sf_dir):
-    return _judged(training.predictions(_softmax(spark, sf_dir)[0], _tables(spark, sf_dir).valid))
+    tables = _tables(spark, sf_dir)
+    fitted = _once(spark, sf_dir, "one softmax", lambda: training.fit_softmax(tables)[0])
+    return _judged(training.predictions(fitted, tables.valid))
 
 
 @query
 def select_best_model(spark, sf_dir):
-    """The candidates; how many are marked best, and whether that one has the highest macro-F1."""
+    """The steps of a fit; how many are marked best, and whether that one has the highest macro-F1."""
     values = _softmax(spark, sf_dir)[1]
     facts = values.agg(
         F.count_if("best").alias("n_best"), (F.max(F.when(F.col("best"), F.col("macro_f1"))) == F.max("macro_f1")).alias("top")
@@ -584,8 +605,7 @@ def select_best_model(spark, sf_dir):
 @query
 def save_model(spark, sf_dir):
     """Labels and vocabulary sizes found in the stored model."""
-    path = scratch_path(spark, "svm-model")
-    models.save_model(spark, _svm(spark, sf_dir), path)
+    path = models.save_model(spark, _svm(spark, sf_dir), scratch_path(spark, "svm-model"))
     labels = spark.read.parquet(f"{path}/labels")
     terms = spark.read.parquet(f"{path}/features/word_vocabulary").agg(F.count("*").alias("n_word_terms"))
     return labels.withColumn("n_word_terms", terms.scalar())
@@ -619,13 +639,43 @@ def detect(spark, sf_dir):
 
 @query
 def compare_models(spark, sf_dir):
-    fitted = {"svm": _svm(spark, sf_dir), "softmax": _softmax(spark, sf_dir)[0]}
+    """Two models built on different features over all texts, in one pass."""
+    fitted = _by_blocks(spark, sf_dir)
     rows = corpora.drop_null_text(mixed(spark, sf_dir), "text")
     compared = models.compare_models(fitted, rows, "doc_id", "text", "label_original")
     known = F.col("pred").isin(*LABELS, "DE", "ES") & (F.col("ok") == (F.col("pred") == F.col("expected")))
     return compared.select("model", "doc_id", "expected", known.alias("consistent"))
 
 
+class LetterModel:
+    """A stand-in for a caller's model: points by letter class. Loading it is what happens once per partition."""
+
+    POINTS = {"vowels": ("aeiou", 3), "consonants": ("bcdfghjklmnpqrstvwxyz", 1), "digits": ("0123456789", 5)}
+
+    def __init__(self):
+        self.classes = {c: name for name, (letters, _) in self.POINTS.items() for c in letters}
+
+    def __call__(self, batch):
+        out = {"n_points": [], "top": [], "vowel_share": []}
+        for text in batch.column("text").to_pylist():
+            counts = dict.fromkeys(self.POINTS, 0)
+            for c in text or "":
+                if c in self.classes:
+                    counts[self.classes[c]] += 1
+            out["n_points"].append(None if text is None else sum(counts[n] * p for n, (_, p) in self.POINTS.items()))
+            out["top"].append(None if text is None else max(counts, key=lambda n: (counts[n], n)))
+            out["vowel_share"].append(counts["vowels"] / len(text) if text else None)
+        return out
+
+
+@query
+def external_model(spark, sf_dir):
+    """A model that the caller brings, called on whole texts in Arrow batches."""
+    rows = mixed_plain(spark, sf_dir)
+    scored = score_with(rows, LetterModel, ["text"], "n_points long, top string, vowel_share double", ["doc_id"])
+    return scored.withColumn("vowel_share", F.round("vowel_share", 6))
+
+
 @query
 def score_linear(spark, sf_dir):
     rows = cleaned(spark, sf_dir).select("doc_id", tx.script_ratios(F.col("text_norm")).alias("r"))
@@ -703,13 +753,20 @@ def gold_sample(spark, sf_dir):
 
 @query
 def ingest_gold(spark, sf_dir):
-    """Rows joined with a labelled CSV: two in three rows of the corpus, some of them left blank."""
+    """All rows joined with a labelled CSV of all rows and whole texts.
+
+    Many rows are labelled a second time: with a blank, with another label (no decision), or twice with another (which
+    then outvotes the first).
+    """
     rows, path = mixed_plain(spark, sf_dir), scratch_path(spark, "labelled")
-    given = F.when(F.col("doc_id") % 3 == 0, F.col("label_original")).otherwise(F.lit(" "))
-    labelled_rows = rows.filter("doc_id % 3 <> 1").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("text_raw"), given.alias("label")
+    extra = (
+        F.when(F.col("doc_id") % 4 == 1, F.array(F.lit(" ")))
+        .when(F.col("doc_id") % 4 == 2, F.array(F.lit("MIX")))
+        .when(F.col("doc_id") % 4 == 3, F.array(F.lit("MIX"), F.lit(" MIX ")))
+        .otherwise(F.array(F.lit(None).cast("string")))
     )
-    corpora.write_csv(labelled_rows, path)
+    given = F.explode(F.concat(F.array("label_original"), extra))
+    corpora.write_csv(rows.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("text_raw"), given.alias("label")), path)
     return weak_labels.ingest_gold(rows, path, "doc_id").select("doc_id", "gold_label", F.md5("text").alias("h"))
 
 
@@ -753,11 +810,9 @@ def stream_detect(spark, sf_dir):
     chat_requests(spark, sf_dir).write.parquet(requests)
     source = spark.readStream.schema("turn_id string, body string").option("maxFilesPerTrigger", 64)
     stream = source.parquet(requests)
-    running = streaming.stream_detect(
-        stream, ratio_scores, LABELS, f"{out}/accepted", f"{out}/rejected", f"{out}/checkpoint"
-    )
-    running.awaitTermination()
-    accepted = spark.read.parquet(f"{out}/accepted").select(
+    sinks = [f"{out}/{name}" for name in ("accepted", "rejected", "commits")]
+    streaming.stream_detect(stream, ratio_scores, LABELS, *sinks, f"{out}/checkpoint").awaitTermination()
+    accepted = streaming.read_committed(spark, sinks[0], sinks[2]).select(
         "turn_id",
         F.lit("accepted").alias("outcome"),
         F.md5("text_norm").alias("h"),
@@ -766,7 +821,7 @@ def stream_detect(spark, sf_dir):
         F.coalesce("script", F.lit("(null)")).alias("script"),
         "prompt_key",
     )
-    rejected = spark.read.parquet(f"{out}/rejected").select(
+    rejected = streaming.read_committed(spark, sinks[1], sinks[2]).select(
         "turn_id",
         F.lit("rejected").alias("outcome"),
         F.lit("").alias("h"),
