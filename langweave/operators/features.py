@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
@@ -21,10 +21,13 @@ from pyspark.sql.types import StructField, StructType
 from langweave.fixed_values import CHAR_NGRAMS, MAX_FEATURES, WORD_NGRAMS
 from langweave.functions.ngrams import char_wb_ngrams, word_ngrams
 from langweave.functions.text import script_ratios
-from langweave.scratch import computed_once, materialize, small_side
+from langweave.scratch import computed_once, materialize
 
 WORD, CHAR = "word", "char"
 RATIOS = ("arab_ratio", "latin_ratio", "cs_ratio")
+SKETCH_BUCKETS = 1 << 20
+# Of the fullest buckets so many are counted for each wanted term.
+BUCKETS_PER_TERM = 2
 
 
 @dataclass(frozen=True)
@@ -83,35 +86,60 @@ def term_statistics(docs: DataFrame, text: str, block: str, options: FeatureOpti
     return materialize(_counted(_listed(docs, text, block, options)), f"terms-{block}")
 
 
-def _parts(term: Column, block: str, size: int) -> tuple[Column, Column]:
-    """The two grams one size shorter that begin and end a gram."""
-    if block == WORD:
-        return F.substring_index(term, " ", size - 1), F.substring_index(term, " ", 1 - size)
-    return F.substring(term, 1, size - 1), F.substring(term, 2, size - 1)
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SKETCH_BUCKETS)).cast("int")
+
+
+def term_sketch(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """``bucket, n``: how many grams of all sizes fall into each bucket of a hash, in one pass over the texts.
+
+    Of bounded size for any corpus, and a bucket's count is never below that of a term in it.
+    """
+    grams = docs.select(F.explode(block_ngrams(F.col(text), block, options)).alias("term"))
+    return grams.groupBy(_bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merged_sketches(*sketches: DataFrame) -> DataFrame:
+    """The sketch of all texts behind some sketches."""
+    return union_all(*sketches).groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, others, first)
+
+
+def _in_full_buckets(term: Column, sketch: DataFrame, least: int) -> Column:
+    """Whether a term's bucket holds at least ``least`` grams; a bit per bucket travels with the plan."""
+    full = sketch.filter(F.col("n") >= least).groupBy(F.shiftright("bucket", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits")
+    )
+    words = [0] * (SKETCH_BUCKETS // 64)
+    for row in full.collect():  # at most as many rows as the literal has entries
+        words[row["word"]] = row["bits"]
+    bits = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return F.bit_get(F.get(bits, F.shiftright(_bucket(term), 6)), _bucket(term).bitwiseAND(63)) == 1
 
 
 def frequent_terms(docs: DataFrame, text: str, block: str, options: FeatureOptions = FeatureOptions()) -> DataFrame:
     """``term, total_tf, df`` of terms among which are the ``max_features`` most frequent; the rest may be missing.
 
-    Sizes are counted one after the other. A gram occurs no more often than its parts, and the count of the k-th term
-    so far is a lower bound for the k-th of all. So of the next size only grams whose two parts reach that count are
-    counted: the long tail of rare longer grams, which outgrows the corpus, never shuffles.
+    Two passes over the texts, whatever the number of sizes. The first fills a sketch; the second counts exactly the
+    terms in its fullest buckets, so the long tail of rare grams, which outgrows the corpus, never shuffles. A bucket holds
+    no fewer grams than any of its terms: if ``max_features`` counted terms reach the least full of these buckets, no
+    other term can belong to the most frequent ones. Should they not, which takes many shared buckets, more buckets are
+    counted.
     """
-    low, high = options.word_ngrams if block == WORD else options.char_ngrams
-    found: DataFrame | None = None
-    for size in range(low, high + 1):
-        one = replace(options, **{f"{block}_ngrams": (size, size)})
-        listed = _listed(docs, text, block, one)
-        if found is not None:
-            kept = vocab_topk(found, options.max_features)
-            reached = kept.agg(F.count("*").alias("n"), F.min("total_tf").alias("least")).first()
-            if reached["n"] == options.max_features and reached["least"] > 1:
-                common = small_side(found.filter(F.col("total_tf") >= reached["least"]).select(F.col("term").alias("_part")))
-                for part in _parts(F.col("term"), block, size):
-                    listed = listed.join(common, part == F.col("_part"), "left_semi")
-        counted = materialize(_counted(listed), f"terms-{block}-{size}")
-        found = counted if found is None else found.unionByName(counted)
-    return found
+    sketch = materialize(term_sketch(docs, text, block, options), f"sketch-{block}")
+    listed, wanted = _listed(docs, text, block, options), BUCKETS_PER_TERM * options.max_features
+    while True:
+        fullest = sketch.orderBy(F.desc("n")).limit(wanted).agg(F.count("*").alias("buckets"), F.min("n").alias("least")).first()
+        if fullest["buckets"] < wanted or fullest["least"] <= 1:
+            return materialize(_counted(listed), f"terms-{block}")
+        kept = listed.filter(_in_full_buckets(F.col("term"), sketch, fullest["least"]))
+        counted = materialize(_counted(kept), f"terms-{block}")
+        if counted.filter(F.col("total_tf") >= fullest["least"]).limit(options.max_features).count() == options.max_features:
+            return counted
+        wanted *= 4
 
 
 def vocab_topk(stats: DataFrame, k: int) -> DataFrame:

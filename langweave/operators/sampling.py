@@ -21,6 +21,8 @@ from langweave.fixed_values import SEED, SPLIT_RATIOS
 from langweave.scratch import materialize, small_side
 
 PREFIX_DIGITS = 4
+# Keys that one task puts in order.
+RANGE_ROWS = 1_000_000
 
 
 def order_hash(key: Column, seed: int = SEED) -> Column:
@@ -168,25 +170,49 @@ def exact_per_group(df: DataFrame, key: str, group: str, rows: Column, seed: int
     return joined.filter(inside).select(*[known[c] for c in df.columns])
 
 
-def seeded_position(df: DataFrame, key: str, out: str = "position", seed: int = SEED) -> DataFrame:
-    """Add the 0-based position of every row in the seeded order.
+def seeded_positions(df: DataFrame, key: str, group: Column, seed: int = SEED) -> DataFrame:
+    """``_group, _key, _position``: the 0-based place of every key in its group's seeded order.
 
-    One shuffle on the hash prefix serves both the join with the prefix starts and the ranking within
-    the prefix; md5 spreads the prefixes evenly.
+    Keys and hashes alone are dealt out by ranges, as many as their number asks for, and written in order; the rows that
+    lie before each range, a small table, make places in ranges places in the whole. A repeated key is an error.
     """
-    hash_ = F.coalesce(order_hash(F.col(key), seed), F.raise_error(F.lit("null key in a seeded order")))
-    keyed = df.withColumn("_hash", hash_)
-    keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
-    starts = _prefix_counts(_keyed(df, key, F.lit(0), seed)).select("_prefix", "_before")
-    within = Window.partitionBy("_prefix").orderBy("_hash", key)
-    return (
-        keyed.join(starts, "_prefix")
-        .withColumn(out, F.col("_before") + F.row_number().over(within) - 1)
-        .drop("_hash", "_prefix", "_before")
+    spark = df.sparkSession
+    keyed = _keyed(df, key, group, seed).select("_group", "_hash", "_key")
+    ranges = max(spark.sparkContext.defaultParallelism, -(-keyed.count() // RANGE_ROWS))
+    order = ["_group", "_hash", "_key"]
+    placed = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "seeded-order")
+    twice = placed.groupBy(*order).count().filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"key {twice['_key']!r} is repeated: its rows have no places of their own")
+    # The upper bits of a place number its range; a group is without gaps within a range.
+    parts = placed.groupBy("_group", F.shiftright("_place", 33).alias("_range")).agg(
+        F.count("*").alias("_rows"), F.min("_place").alias("_first")
+    )
+    before = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_rows")
+    starts = parts.select(
+        F.col("_group").alias("_of"), F.col("_range").alias("_in"), (before - F.col("_first")).alias("_shift")
     )
+    inside = F.col("_group").eqNullSafe(F.col("_of")) & (F.shiftright("_place", 33) == F.col("_in"))
+    return placed.join(small_side(starts), inside).select(
+        "_group", "_key", (F.col("_place") + F.col("_shift")).alias("_position")
+    )
+
 
+def assign_ids(df: DataFrame, prefix: str | Column, key: str, seed: int = SEED) -> DataFrame:
+    """Add ``id`` = ``prefix_{position}``; rows of different prefixes are numbered apart, all in one go.
 
-def assign_ids(df: DataFrame, prefix: str, key: str, seed: int = SEED) -> DataFrame:
-    """Add ``id`` = ``prefix_{position}``."""
-    placed = seeded_position(df, key, "_position", seed)
-    return placed.withColumn("id", F.concat(F.lit(prefix + "_"), F.col("_position"))).drop("_position")
+    Only keys are ranked. The rows meet the finished ids by prefix and key: they stay where they are while the ids are
+    small enough to go to them, and are joined plainly beyond that.
+    """
+    group = F.lit(prefix) if isinstance(prefix, str) else prefix
+    rows = df.withColumn("_prefix", group)
+    places = seeded_positions(rows, key, F.col("_prefix"), seed)
+    ids = small_side(
+        places.select(
+            F.col("_group").alias("_of"), F.col("_key").alias("_keyed"),
+            F.concat("_group", F.lit("_"), F.col("_position").cast("string")).alias("id"),
+        )
+    )
+    joined = rows.join(ids, (F.col("_prefix") == F.col("_of")) & (F.col(key) == F.col("_keyed")))
+    return joined.select(*[c for c in df.columns if c.lower() != "id"], "id")

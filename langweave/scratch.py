@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-# A side is broadcast only when it has at most this many rows; beyond it a plain join is planned.
+# A side is broadcast only when it has at most so many rows and bytes; beyond it a plain join is planned.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 _local_folders: dict[str, str] = {}
@@ -49,10 +51,22 @@ def materialize(df: DataFrame, name: str, read_schema: StructType | None = None)
     return spark.read.schema(read_schema or df.schema).parquet(path)
 
 
+def _row_bytes(schema: StructType) -> Column:
+    """About the bytes a row takes in memory: texts by their length, nested values by that of their JSON."""
+    parts = [F.lit(16 * len(schema))]
+    for field in schema:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            parts.append(F.octet_length(F.to_json(F.struct(field.name))))
+    return reduce(lambda a, b: a + b, parts)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` ready to be the small side of a join: broadcast if its counted size allows."""
+    """``df`` ready to be the small side of a join: broadcast if its counted rows and bytes allow."""
     table = materialize(df, "small-side")
-    return F.broadcast(table) if table.count() <= max_rows else table
+    size = table.agg(F.count("*").alias("rows"), F.sum(_row_bytes(table.schema).cast("long")).alias("bytes")).first()
+    return F.broadcast(table) if size["rows"] <= max_rows and (size["bytes"] or 0) <= BROADCAST_BYTES else table
 
 
 def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:

@@ -119,3 +119,30 @@ def test_pruned_counting_finds_the_same_terms(spark, block, k):
     every = ft.vocab_topk(ft.term_statistics(docs, "t", block, options), k)
     pruned = ft.vocab_topk(ft.frequent_terms(docs, "t", block, options), k)
     assert [tuple(x) for x in pruned.collect()] == [tuple(x) for x in every.collect()]
+
+
+@pytest.mark.parametrize("buckets", [64, 1 << 20])
+def test_two_passes_count_every_frequent_term(spark, monkeypatch, buckets):
+    """With very few buckets nearly all are shared: the count is widened until it is proven."""
+    monkeypatch.setattr(ft, "SKETCH_BUCKETS", buckets)
+    monkeypatch.setattr(ft, "BUCKETS_PER_TERM", 1)
+    written = []
+    real = ft.materialize
+    monkeypatch.setattr(ft, "materialize", lambda df, name, *a: written.append(name) or real(df, name, *a))
+    r = random.Random(4)
+    words = [f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(4000)]
+    docs = spark.createDataFrame([(" ".join(words[i : i + 40]),) for i in range(0, 4000, 40)], "t string")
+    options = ft.FeatureOptions(max_features=25)
+    found = ft.frequent_terms(docs, "t", ft.WORD, options)
+    assert written[0] == "sketch-word" and (buckets == 64 or written == ["sketch-word", "terms-word"])
+    every = ft._counted(ft._listed(docs, "t", ft.WORD, options))
+    assert [tuple(x) for x in ft.vocab_topk(found, 25).collect()] == [tuple(x) for x in ft.vocab_topk(every, 25).collect()]
+    if buckets > 64:
+        assert found.count() < every.count() / 4
+
+
+def test_sketches_merge(spark):
+    docs = spark.createDataFrame([("a bb cc bb cc",), ("cc dd",), (None,), ("",)], "t string")
+    whole = ft.term_sketch(docs, "t", ft.WORD)
+    parts = ft.merged_sketches(*[ft.term_sketch(docs.filter(f"t {c} 'b'"), "t", ft.WORD) for c in ("<", ">=")])
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))

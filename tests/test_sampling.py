@@ -131,3 +131,33 @@ def test_quotas_of_very_many_labels(spark):
 def test_quotas_of_an_empty_table_and_of_null_labels(spark):
     empty = spark.createDataFrame([(1, None)], "id long, label string")
     assert sampling.exact_per_group(empty, "id", "label", F.col("_least")).count() == 0
+
+
+def test_ids_of_several_sources_in_one_ranking(spark, monkeypatch):
+    rows = spark.range(500).select(F.col("id").alias("key"), F.concat(F.lit("t"), "id").alias("text"), (F.col("id") % 3).cast("string").alias("of"))
+    again = rows.filter("of = '1'").withColumn("of", F.lit("other"))
+    both = rows.unionByName(again)
+    expected = {}
+    for of in ("0", "1", "2", "other"):
+        keys = [k for k in range(500) if str(k % 3) == of or (of == "other" and k % 3 == 1)]
+        expected |= {f"{of}_{i}": f"t{k}" for i, k in enumerate(order(keys))}
+    out = sampling.assign_ids(both, F.col("of"), "key")
+    assert out.columns == ["key", "text", "of", "id"] and {r["id"]: r["text"] for r in out.collect()} == expected
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    # The same without a broadcast, and with ranges of few rows.
+    from langweave import scratch
+
+    monkeypatch.setattr(scratch.small_side, "__defaults__", (0,))
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 7)
+    assert {r["id"]: r["text"] for r in sampling.assign_ids(both, F.col("of"), "key").collect()} == expected
+
+
+def test_ranking_reads_no_texts_and_repeated_keys_are_an_error(spark, tmp_path):
+    spark.range(50).selectExpr("id as key", "repeat('x', 50) as text").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t")).withColumn("text", F.upper("text"))
+    places = sampling.seeded_positions(table, "key", F.lit("s"))
+    assert "text" not in places._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="repeated"):
+        sampling.assign_ids(table.unionByName(table), "x", "key")
+    assert sampling.assign_ids(table.limit(0), "x", "key").count() == 0

@@ -30,3 +30,17 @@ def test_computed_once_survives_the_optimizer(spark):
     df = scratch.computed_once(spark.range(3), "v", F.md5(F.col("id").cast("string")))
     plan = df.filter(F.length("v") > 0).select(F.concat("v", "v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5") == 1
+
+
+def test_a_side_of_few_long_rows_is_not_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from langweave import scratch
+
+    rows = spark.range(20).select("id", F.repeat(F.lit("w"), 1000).alias("t"), F.array(F.lit("x")).alias("a"))
+    left = spark.range(5)
+    plan = lambda: left.join(scratch.small_side(rows), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 10_000)
+    assert "strategy=broadcast" not in plan()
+    assert scratch.small_side(rows.limit(0)).count() == 0

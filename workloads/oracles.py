@@ -409,7 +409,7 @@ ORACLES: dict[str, str] = {
     + "select doc_id, label_original as label, length(text)::int as n_text, md5(text) as h from mixed",
     "scan_multi_split": with_(MIXED_CTE)
     + "select doc_id, upper(lang) as labels, md5(text) as h from mixed where lang in ('fr', 'en')",
-    "sink_parquet_if_absent": "select doc_id, lang from documents",
+    "sink_parquet_if_absent": "select doc_id, lang, md5(text) as h from documents",
     "sink_splits": with_(MIXED_CTE, CLEANED_CTE, SPLIT_CTE) + "select doc_id, label_original, split from corpus",
     "emit_responses": with_(TURNS_CTE, ASSEMBLED_CTE)
     + f"""select turn_id, md5(answer) as answer_hash, label, script, prompt_key, detect_ms, score_en,

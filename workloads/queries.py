@@ -183,9 +183,10 @@ def scan_multi_split(spark, sf_dir):
 @query
 def sink_parquet_if_absent(spark, sf_dir):
     path = scratch_path(spark, "once")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     corpora.sink_parquet_if_absent(rows, path)
-    return corpora.sink_parquet_if_absent(rows.withColumn("lang", F.upper("lang")), path)
+    stored = corpora.sink_parquet_if_absent(rows.withColumn("lang", F.upper("lang")), path)
+    return stored.select("doc_id", "lang", F.md5("text").alias("h"))
 
 
 @query
