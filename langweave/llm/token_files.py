@@ -33,30 +33,46 @@ SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 64
 SHARD_DOCUMENTS = 20_000
 END_ID = 2
-# Encoded words a Python worker keeps; past it the memory is started anew (some 200 MB).
-KEPT_WORDS = 1_000_000
+# A Python worker keeps encoded words up to so many bytes, then starts anew, and none longer than so many characters.
+KEPT_BYTES = 200 << 20
+KEPT_LENGTH = 64
+# What an entry takes besides the bytes of word and ids.
+ENTRY_BYTES = 200
 
 
 class KnownWords(dict):
     """Ids of words, as little-endian bytes; a word it does not know is encoded when it is asked for.
 
     A full stop or comma after a letter, and the case of ASCII words, are taken off first where that is what the
-    tokenizer does itself: it splits letters from other characters and lowers them.
+    tokenizer does itself: it splits letters from other characters and lowers them. A letter is one by its normalised
+    form, which may end in a mark; a mark and the stop after it stay together.
     """
 
     def __init__(self, tokenizer, dtype: np.dtype, splits_ends: bool, lowers: bool):
         super().__init__()
         self.tokenizer, self.dtype, self.splits_ends, self.lowers = tokenizer, dtype, splits_ends, lowers
+        self.size = 0
+
+    def _letter_before_end(self, word: str) -> bool:
+        if word.isascii() or self.tokenizer.normalizer is None:
+            return word[-2].isalpha()
+        normal = self.tokenizer.normalizer.normalize_str(word)
+        return word[-2].isalpha() and normal[-1] == word[-1] and normal[-2].isalpha()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        if self.splits_ends and len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        if self.splits_ends and len(word) > 1 and word[-1] in ".," and self._letter_before_end(word):
             ids = self[word[:-1]] + self[word[-1]]
         elif self.lowers and word.isascii() and word.isalpha() and not word.islower():
             ids = self[word.lower()]
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        if len(word) > KEPT_LENGTH:
+            return ids
+        taken = ENTRY_BYTES + 4 * len(word) + len(ids)
+        if self.size + taken > KEPT_BYTES:
+            self.clear()
+            self.size = 0
+        self.size += taken
         self[word] = ids
         return ids
 

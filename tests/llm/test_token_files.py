@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from langweave.llm.token_files import BATCH_SEQUENCES, TokenFile, read_checksums, write_token_files
+from langweave.llm import token_files
+from langweave.llm.token_files import BATCH_SEQUENCES, TokenFile, WordEncoder, read_checksums, write_token_files
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,37 @@ def test_sequences_are_views_of_equal_length(make, vocabulary):
         ids += sequence[mask].tolist()
     assert count > BATCH_SEQUENCES
     assert ids == encoded(vocabulary, texts[0]) * 30
+
+
+@pytest.mark.parametrize("end", [".", ","])
+def test_every_character_before_a_stop(vocabulary, end):
+    """The word encoder's ids of all code points before a full stop or comma are those of the whole text."""
+    encoder, tokenizer = WordEncoder(vocabulary), Tokenizer.from_str(vocabulary)
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c not in "\x00 \n"]
+    for at in range(0, len(points), 2000):
+        text = " ".join(f"a{c}{end}" for c in points[at : at + 2000])
+        ids = np.frombuffer(encoder.encode(text), encoder.dtype).tolist()
+        if ids != tokenizer.encode(text, add_special_tokens=False).ids:
+            for c in points[at : at + 2000]:
+                word = f"a{c}{end}"
+                found = np.frombuffer(encoder.encode(word), encoder.dtype).tolist()
+                assert found == tokenizer.encode(word, add_special_tokens=False).ids, (hex(ord(c)), found)
+            pytest.fail(f"words from {hex(ord(points[at]))} on")
+
+
+def test_normalised_letters_before_a_stop(vocabulary):
+    encoder, tokenizer = WordEncoder(vocabulary), Tokenizer.from_str(vocabulary)
+    for text in ("CUMHURİYETİ. Ankara", "Bir gün İ, sonra", "क़. क़, ড়.", "É. é, É."):
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_remembered_words_are_bounded_in_bytes(vocabulary, monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 20_000)
+    encoder, tokenizer = WordEncoder(vocabulary), Tokenizer.from_str(vocabulary)
+    for i in range(300):
+        text = f"word{i} " + chr(0x4E00 + i) * 300
+        ids = np.frombuffer(encoder.encode(text), encoder.dtype).tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+        known = encoder.known
+        assert known.size <= 20_000 and all(len(w) <= token_files.KEPT_LENGTH for w in known)
+        assert sum(len(w.encode()) + len(v) for w, v in known.items()) <= known.size
