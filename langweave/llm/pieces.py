@@ -33,8 +33,11 @@ from langweave.llm.columns import whole
 MARKER = "▁"
 # How far below the lowest score an uncovered character lies.
 UNKNOWN_PENALTY = 10.0
-# Encoded chunks a Python worker keeps; past it the memory is started anew (some 200 MB).
-KEPT_CHUNKS = 800_000
+# A Python worker keeps encoded chunks up to so many bytes, then starts anew, and none longer than so many characters.
+KEPT_BYTES = 180 << 20
+KEPT_LENGTH = 64
+# What an entry takes besides the bytes of chunk and ids.
+ENTRY_BYTES = 200
 
 
 class DoubleArray:
@@ -129,6 +132,7 @@ class PieceCodec:
         self.chunk = re.compile(f"{alone}|{MARKER}*[^{MARKER}{alone}]+|{MARKER}+" if alone else f"{MARKER}*[^{MARKER}]+|{MARKER}+")
         self.dtype = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.size = 0
         self.byte_of = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
         self.written = [self.byte_of.get(i, p.encode()) for i, p in enumerate(model.pieces)]
         for i in set(range(len(model.pieces))).difference(model.ordinary, self.byte_of):
@@ -185,9 +189,14 @@ class PieceCodec:
         for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:
-                if len(known) >= KEPT_CHUNKS:
-                    known.clear()
-                ids = known[chunk] = np.array(self.segment(chunk.encode()), self.dtype).tobytes()
+                ids = np.array(self.segment(chunk.encode()), self.dtype).tobytes()
+                if len(chunk) <= KEPT_LENGTH:
+                    taken = ENTRY_BYTES + 4 * len(chunk) + len(ids)
+                    if self.size + taken > KEPT_BYTES:
+                        known.clear()
+                        self.size = 0
+                    self.size += taken
+                    known[chunk] = ids
             out.append(ids)
         return b"".join(out)
 

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from langweave.llm import pieces
 from langweave.llm.pieces import MARKER, DoubleArray, PieceCodec, PieceModel, decode_pieces, encode_pieces
 
 
@@ -107,3 +108,14 @@ def test_awkward_rows(awkward, model):
     assert all(r.decoded == r.text for r in got)
     assert [r.n_ids for r in got if r.text == ""] == [0, 0]
     assert encode_pieces(awkward.limit(0), model).collect() == []
+
+
+def test_remembered_chunks_are_bounded_in_bytes(model, monkeypatch):
+    free = PieceCodec(model)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 15_000)
+    codec = PieceCodec(model)
+    for i in range(200):
+        text = f"word{i} and " + chr(0x4E00 + i) * 200
+        assert codec.encode(text) == free.encode(text)
+        assert codec.size <= 15_000 and all(len(c) <= pieces.KEPT_LENGTH for c in codec.known)
+        assert sum(len(c.encode()) + len(v) for c, v in codec.known.items()) <= codec.size
