@@ -21,13 +21,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from langweave.llm.columns import bound, flattened, joined_hashes, unclashed, whole, words
-from langweave.scratch import computed_once, materialize
+from langweave.scratch import computed_once, materialize, small_side
 
 BUCKETS = 1 << 14
-# Trusted documents are at most so many labelled rows, the first by hashed id; their ids are broadcast (8 bytes each).
-MAX_TRUSTED_ROWS = 50_000
-# The most frequent languages are compared apart, all others together.
-MAX_LANGUAGES = 32
 # N-grams of corpus text mixed into the trusted text of each language.
 PRIOR_GRAMS = 10_000
 # Trusted documents are dealt to so many folds; each is judged by weights that the other folds give.
@@ -98,21 +94,16 @@ def rule_counts(text: str = "text") -> list[Column]:
     ]
 
 
-def trusted_ids(labels: DataFrame, max_rows: int = MAX_TRUSTED_ROWS, quality: int = 1) -> DataFrame:
-    """Ids of the documents labelled good (or of another quality), the first ``max_rows`` by hashed id."""
-    good = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
+def trusted_ids(labels: DataFrame, quality: int = 1) -> DataFrame:
+    """Ids of all documents labelled good (or of another quality), each once."""
+    good = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull())
+    return good.select("doc_id").distinct()
 
 
-def _strata(docs: DataFrame) -> Column:
-    """The number of the document's language, 0 for rare ones; nulls are a language, and all are without the column."""
+def _language(docs: DataFrame) -> Column:
+    """The document's language; nulls are one, and so are all documents without the column."""
     name = next((c for c in docs.columns if c.lower() == "lang"), None)
-    if name is None:
-        return F.lit(0)
-    lang = F.coalesce(F.col(name).cast("string"), F.lit(""))
-    found = docs.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    common = F.array(*[F.lit(r["lang"]) for r in found]).cast("array<string>")
-    return F.array_position(common, lang).cast("int")
+    return F.lit("") if name is None else F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def _fold(text: str) -> Column:
@@ -124,10 +115,11 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", buck
     """One row: ``weights``, log p_trusted - log p_corpus of every bucket, and ``fold_weights``, the same without the
     trusted documents of each fold, one fold after the other.
 
-    Without any n-gram of a trusted document all weights are zero. ``trusted`` must be bounded: it is broadcast.
+    Without any n-gram of a trusted document all weights are zero. All of ``trusted`` and every language count; both
+    meet the documents by plain joins where they are not small.
     """
-    marked = docs.select("doc_id", text, _strata(docs).alias("_stratum")).join(
-        F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left"
+    marked = docs.select("doc_id", text, _language(docs).alias("_stratum")).join(
+        small_side(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left"
     )
     marked = marked.withColumn("_fold", F.when(F.col("_trusted") == 1, _fold(text)))
     grams = with_ngrams(marked, text).select(
@@ -142,7 +134,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", buck
     counts = materialize(counts, "bucket-counts")
     summed = ["corpus", "trusted", *held]
     totals = counts.groupBy("_stratum").agg(*[F.sum(c).alias(f"{c}_all") for c in summed])
-    cells = counts.join(F.broadcast(totals), "_stratum")
+    cells = counts.join(small_side(totals), "_stratum")
 
     def mixed(seen: Column, seen_all: Column) -> Column:
         """The bucket's expected n-grams if trusted text had as many of the language as the corpus has."""
@@ -198,7 +190,7 @@ def cut_off(docs: DataFrame, judged: DataFrame, model: Row, text: str, buckets:
     ``judged`` holds ids and ``quality``. Good documents are judged without their fold, bad ones are in none.
     """
     fold = F.when(F.col("quality") == 1, _fold(text)).otherwise(F.lit(FOLDS))
-    seen = docs.select("doc_id", text).join(F.broadcast(judged), "doc_id").withColumn("_fold", fold)
+    seen = docs.select("doc_id", text).join(small_side(judged), "doc_id").withColumn("_fold", fold)
     grams = with_ngrams(seen, text).filter(F.size("_grams1") >= MIN_WORDS)
     ratio = _mean_weight(_constant(model["fold_weights"] + model["weights"]), buckets, F.col("_fold") * buckets)
     # Rounded ratios have few values, so their counts are a small table and the percentile is exact.
@@ -224,7 +216,6 @@ def quality_rules(
     text: str = "text",
     buckets: int = BUCKETS,
     min_ratio: float | None = None,
-    max_trusted_rows: int = MAX_TRUSTED_ROWS,
 ) -> DataFrame:
     """Judge every document: its columns and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``,
     ``base_failed``, ``ratio`` (mean log-likelihood ratio, 0 without words) and ``kept``.
@@ -236,11 +227,11 @@ def quality_rules(
     """
     added = (*COUNT_COLUMNS, "base_failed", "ratio", "kept")
     docs = unclashed(docs, *added, "_grams1", "_grams2", "_trusted", "_facts", "_fold", "_stratum")
-    trusted = materialize(trusted_ids(labels, max_trusted_rows), "trusted-ids")
+    trusted = materialize(trusted_ids(labels), "trusted-ids")
     model = bucket_weights(docs, trusted, text, buckets).first()
     least = min_ratio
     if least is None:
-        bad = trusted_ids(labels, max_trusted_rows, 0).join(trusted, "doc_id", "left_anti")
+        bad = trusted_ids(labels, 0).join(trusted, "doc_id", "left_anti")
         judged = trusted.withColumn("quality", F.lit(1)).unionByName(bad.withColumn("quality", F.lit(0)))
         least = cut_off(docs, judged, model, text, buckets)
     alike = F.lit(True) if least is None else F.col("_facts.ratio") >= least

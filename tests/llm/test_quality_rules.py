@@ -3,7 +3,8 @@ from collections import Counter
 
 import pytest
 
-from langweave.llm.quality_rules import COUNT_COLUMNS, quality_rules
+from langweave import scratch
+from langweave.llm.quality_rules import COUNT_COLUMNS, quality_rules, trusted_ids
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +84,27 @@ def test_keeps_good_documents_outside_the_trusted_ones(spark):
     total = lambda quality, kept: sum(n for (_, q, k), n in counts.items() if (q, k) == (quality, kept))
     assert total(1, False) <= 0.01 * total(1, True)
     assert total(0, True) <= 0.1 * total(0, False)
+
+
+def test_every_good_label_is_trusted_once(spark):
+    rows = [(i, 1, 0) for i in range(1000)] * 3 + [(None, 1, 0), (5000, 0, 0), (6000, None, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in trusted_ids(labels).collect()} == set(range(1000)) and trusted_ids(labels).count() == 1000
+    assert [r.doc_id for r in trusted_ids(labels, 0).collect()] == [5000]
+
+
+def test_each_of_many_languages_is_compared_apart(spark):
+    """Half of forty languages have trusted documents; texts of the others read like their own corpus."""
+    text = lambda lang, i: " ".join(f"l{lang}w{(i * 7 + k * k) % 60}" for k in range(40))
+    rows = [(lang * 100 + i, text(lang, i), f"l{lang}") for lang in range(40) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.filter("doc_id < 2000").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    ratios = quality_rules(docs, labels).groupBy("lang").agg({"ratio": "avg"}).collect()
+    assert len(ratios) == 40 and all(abs(r["avg(ratio)"]) < 0.02 for r in ratios)
+
+
+def test_joins_without_broadcast_judge_alike(documents, labels, monkeypatch):
+    frame, _ = documents
+    before = {r.doc_id: (r.ratio, r.kept) for r in quality_rules(frame, labels).collect()}
+    monkeypatch.setattr(scratch.small_side, "__defaults__", (0,))
+    assert {r.doc_id: (r.ratio, r.kept) for r in quality_rules(frame, labels).collect()} == before
