@@ -34,7 +34,7 @@ BATCH_SEQUENCES = 64
 SHARD_DOCUMENTS = 20_000
 END_ID = 2
 # A Python worker keeps encoded words up to so many bytes, then starts anew, and none longer than so many characters.
-KEPT_BYTES = 200 << 20
+KEPT_BYTES = 330 << 20
 KEPT_LENGTH = 64
 # What an entry takes besides the bytes of word and ids.
 ENTRY_BYTES = 200
