@@ -38,6 +38,8 @@ MIN_CALIBRATION = 20
 MIN_BAD = 5
 MOST_LOST_SHARE = 0.02
 LOST_WEIGHT = 5
+# Labelled ids go to the documents while they are no more than these (some 32 MB); beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -119,7 +121,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", buck
     meet the documents by plain joins where they are not small.
     """
     marked = docs.select("doc_id", text, _language(docs).alias("_stratum")).join(
-        small_side(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left"
+        small_side(trusted.withColumn("_trusted", F.lit(1)), BROADCAST_IDS), "doc_id", "left"
     )
     marked = marked.withColumn("_fold", F.when(F.col("_trusted") == 1, _fold(text)))
     grams = with_ngrams(marked, text).select(
@@ -190,7 +192,7 @@ def cut_off(docs: DataFrame, judged: DataFrame, model: Row, text: str, buckets:
     ``judged`` holds ids and ``quality``. Good documents are judged without their fold, bad ones are in none.
     """
     fold = F.when(F.col("quality") == 1, _fold(text)).otherwise(F.lit(FOLDS))
-    seen = docs.select("doc_id", text).join(small_side(judged), "doc_id").withColumn("_fold", fold)
+    seen = docs.select("doc_id", text).join(small_side(judged, BROADCAST_IDS), "doc_id").withColumn("_fold", fold)
     grams = with_ngrams(seen, text).filter(F.size("_grams1") >= MIN_WORDS)
     ratio = _mean_weight(_constant(model["fold_weights"] + model["weights"]), buckets, F.col("_fold") * buckets)
     # Rounded ratios have few values, so their counts are a small table and the percentile is exact.
