@@ -4,8 +4,8 @@ Candidates are the matches of four formats (e-mail, IP address, payment card, ph
 checks, and of looser forms of the same kinds. Each candidate gets votes for, against or none from five labelers: the
 well-formed pattern, the checksum or range, a gazetteer, the words around it, and the characters beside it. The votes
 of the whole corpus are counted by pattern (a bounded table: kinds x 3^5 votes x shapes). Expectation-maximisation
-on these counts estimates how reliable each labeler is and how likely each pattern is personal data; a logistic span
-classifier is then trained on the patterns under these soft labels. Matches that pass their format's checks always
+on these counts estimates, for each kind, how reliable each labeler is and how likely each pattern is personal data; a
+logistic span classifier is then trained on the patterns under these soft labels. Matches that pass their format's checks always
 count; the classifier adds others.
 
 All work on texts is native expressions inside the row. Only pattern counts shuffle and only they reach the driver.
@@ -66,8 +66,9 @@ COUNTER_CUES = r"version|release|isbn|issn|order|invoice|serial|section|chapter|
 CONTEXT_CHARS = 40
 
 EM_ROUNDS = 40
-# Prior belief on each labeler: the chance of a vote (-1, 0, 1) on personal data, and on anything else. It weighs
-# twice as much as the candidates themselves, so that the two classes keep their meaning where one of them is rare.
+# Prior belief on each labeler: the chance of a vote (-1, 0, 1) on personal data, and on anything else. It weighs as much
+# as PRIOR_COUNT candidates of each class, whatever the input: it gives the classes their meaning where candidates are few,
+# and the votes prevail as candidates grow.
 PRIOR = {
     "pattern": ((0.19, 0.01, 0.8), (0.59, 0.01, 0.4)),
     "check": ((0.01, 0.01, 0.98), (0.89, 0.01, 0.1)),
@@ -75,7 +76,7 @@ PRIOR = {
     "context": ((0.05, 0.65, 0.3), (0.2, 0.7, 0.1)),
     "edge": ((0.05, 0.94, 0.01), (0.3, 0.69, 0.01)),
 }
-PRIOR_SHARE = 2.0
+PRIOR_COUNT = 200
 FIT_ROUNDS = 400
 ACCEPT = 0.5
 MASKS = {kind: f"<{kind.upper()}>" for kind in KINDS}
@@ -222,16 +223,24 @@ def vote_counts(docs: DataFrame) -> DataFrame:
 def consensus(patterns: Iterable[Row]) -> list[float]:
     """Expectation-maximisation over vote patterns: the probability of each that its candidates are personal data.
 
-    A labeler has, per class, a distribution over its three votes; votes are independent given the class. Both start
-    from ``PRIOR`` and are smoothed by it.
+    A labeler has, per kind and class, a distribution over its three votes; votes are independent given the class. Each
+    kind starts from ``PRIOR`` and is smoothed by ``PRIOR_COUNT`` candidates of each class that vote like it.
     """
     patterns = list(patterns)
+    posterior = [0.0] * len(patterns)
+    for kind in {row["kind"] for row in patterns}:
+        places = [k for k, row in enumerate(patterns) if row["kind"] == kind]
+        for k, p in zip(places, _consensus_of_kind([patterns[k] for k in places])):
+            posterior[k] = p
+    return posterior
+
+
+def _consensus_of_kind(patterns: list[Row]) -> list[float]:
     total = sum(row["n"] for row in patterns)
-    weight = PRIOR_SHARE * total
     belief = {(name, v - 1): (PRIOR[name][0][v], PRIOR[name][1][v]) for name in LABELERS for v in range(3)}
     table, share = dict(belief), 0.5
     posterior: list[float] = []
-    for _ in range(EM_ROUNDS if patterns else 0):
+    for _ in range(EM_ROUNDS):
         posterior = []
         for row in patterns:
             odds = math.log(share / (1 - share))
@@ -240,14 +249,14 @@ def consensus(patterns: Iterable[Row]) -> list[float]:
                 odds += math.log(yes / no)
             posterior.append(1 / (1 + math.exp(-max(-40.0, min(40.0, odds)))))
         positive = sum(row["n"] * p for row, p in zip(patterns, posterior))
-        share = (positive + weight / 2) / (total + weight)
+        share = (positive + PRIOR_COUNT) / (total + 2 * PRIOR_COUNT)
         for name in LABELERS:
             for vote in (-1, 0, 1):
                 yes = sum(row["n"] * p for row, p in zip(patterns, posterior) if row[name] == vote)
                 no = sum(row["n"] * (1 - p) for row, p in zip(patterns, posterior) if row[name] == vote)
                 table[name, vote] = (
-                    (yes + weight * belief[name, vote][0]) / (positive + weight),
-                    (no + weight * belief[name, vote][1]) / (total - positive + weight),
+                    (yes + PRIOR_COUNT * belief[name, vote][0]) / (positive + PRIOR_COUNT),
+                    (no + PRIOR_COUNT * belief[name, vote][1]) / (total - positive + PRIOR_COUNT),
                 )
     return posterior
 

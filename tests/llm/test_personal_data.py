@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -102,6 +103,36 @@ def test_reliabilities_come_from_agreement():
     assert fit_classifier([]) == {} and consensus([]) == []
 
 
+def votes(n, gazetteer, kind=2, context=0, genuine=True):
+    checks = (1, 1) if genuine else (-1, -1)
+    return Row("kind", *LABELERS, "shape", "n")(kind, *checks, gazetteer, context, 0, 2, n)
+
+
+def test_data_outweigh_the_prior_as_they_grow():
+    agreeing = [votes(10_000_000, 1), votes(10_000_000, -1, genuine=False)]
+    contradicting = [votes(10_000_000, -1), votes(10_000_000, 1, genuine=False)]
+    for rows in (agreeing, contradicting):
+        yes, no = consensus(rows)
+        assert yes > 0.9999 and no < 0.0001
+
+
+def test_a_random_labeler_loses_its_say():
+    def swing(n):
+        """By how much the gazetteer moves the log-odds of candidates whose other votes are split."""
+        rows = [votes(n, g, genuine=t) for g in (1, -1) for t in (True, False)]
+        split = [Row("kind", *LABELERS, "shape", "n")(2, 1, -1, g, 0, 0, 2, 1) for g in (1, -1)]
+        a, b = consensus(rows + split)[-2:]
+        return abs(math.log(a / (1 - a)) - math.log(b / (1 - b)))
+
+    assert swing(10) > 0.5 and swing(10**6) < 0.01
+
+
+def test_kinds_are_judged_apart():
+    mails = [votes(10**6, -1, kind=0), votes(10**6, 1, kind=0, genuine=False)]
+    cards = [votes(10**6, 1), votes(10**6, -1, genuine=False)]
+    assert consensus(mails + cards) == consensus(mails) + consensus(cards)
+
+
 def test_masks(make):
     docs = make(["x a@b.co y 1.1.1.1.", "none", None, "+1 (269) 555-3296"])
     out = personal_data(docs).select("doc_id", masked("text", F.col("spans")).alias("m"), span_list(F.col("spans")).alias("s"))
