@@ -4,9 +4,10 @@ Documents are cut into pieces no longer than the largest permitted length. Piece
 they fill most closely; where none has room a bin is opened, of the size that costs least for each token it can still
 be expected to hold. Once a bin takes no more it is downsized to the smallest permitted length that holds its contents.
 
-Pieces are dealt to packing groups by a hash of the document, so the bins of a group are made by one task from a few
-ten thousand short rows (id, piece, length), sorted; texts are never moved. The share of space that a group of that
-size leaves empty is as small as that of all pieces packed at once, and a lost task makes the same bins again.
+Pieces are dealt to packing groups by a hash of the document, its copy and the piece, so the bins of a group are made by
+one task from a few ten thousand short rows (id, piece, length), sorted, however long a document or often repeated a row
+is; texts are never moved. The share of space that a group of that size leaves empty is as small as that of all pieces
+packed at once, and a lost task makes the same bins again.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langweave.llm.columns import unclashed, whole
+from langweave.llm.columns import whole
+from langweave.scratch import materialize
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 # What a sequence costs beside its tokens, in tokens: start of a kernel, padding to a tile, a row of the batch.
@@ -76,17 +78,29 @@ def pack_group(lengths: Iterable[int], capacities: Sequence[int] = CAPACITIES) -
     return [(number, offset, bins.final_size(number), bins.used[number]) for number, offset in placed]
 
 
-def pieces(docs: DataFrame, length: Column, doc_id: str, largest: int) -> DataFrame:
-    """``doc_id, doc_hash, piece, piece_start, n_tokens``: documents cut at multiples of the largest length."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.greatest(length, F.lit(0)).cast("long").alias("_tokens"))
-    cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_tokens") - 1) / largest)))
-    sized = sized.filter("_tokens > 0").select("doc_id", "_tokens", cuts.alias("piece"))
-    return sized.select(
+def lengths(docs: DataFrame, length: Column, doc_id: str) -> DataFrame:
+    """``doc_id, tokens, copies``: rows of equal id and length are interchangeable, so only their number is kept."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.greatest(length, F.lit(0)).cast("long").alias("tokens"))
+    return sized.filter("tokens > 0").groupBy("doc_id", "tokens").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def piece_count(largest: int) -> Column:
+    """Into how many pieces a document of ``tokens`` is cut."""
+    return F.floor((F.col("tokens") - 1) / largest) + 1
+
+
+def pieces(sized: DataFrame, largest: int) -> DataFrame:
+    """``doc_id, place, piece, piece_start, n_tokens``: every copy cut at multiples of the largest length; ``place`` is a
+    hash of document, copy and piece."""
+    none = F.lit(0).cast("long")
+    copied = sized.select("doc_id", "tokens", F.explode(F.sequence(none, F.col("copies") - 1)).alias("copy"))
+    cut = copied.select("*", F.explode(F.sequence(none, piece_count(largest) - 1)).alias("piece"))
+    return cut.select(
         "doc_id",
-        F.xxhash64("doc_id", "_tokens").alias("doc_hash"),
+        F.xxhash64("doc_id", "tokens", "copy", "piece").alias("place"),
         "piece",
         (F.col("piece") * largest).alias("piece_start"),
-        F.least(F.lit(largest), F.col("_tokens") - F.col("piece") * largest).alias("n_tokens"),
+        F.least(F.lit(largest), F.col("tokens") - F.col("piece") * largest).alias("n_tokens"),
     )
 
 
@@ -110,10 +124,11 @@ def best_fit_packing(
     result. No other column of ``docs`` is read.
     """
     sizes = sorted(set(capacities))
-    docs = unclashed(docs, "_tokens") if doc_id != "_tokens" else docs
-    cut = pieces(docs, byte_tokens("text") if length is None else length, doc_id, sizes[-1])
-    groups = max(1, -(-docs.count() // group_pieces))
-    dealt = cut.withColumn("_group", F.pmod("doc_hash", F.lit(groups)).cast("int"))
+    sized = materialize(lengths(docs, byte_tokens("text") if length is None else length, doc_id), "lengths")
+    total = sized.agg(F.sum(F.col("copies") * piece_count(sizes[-1]))).first()[0] or 0
+    groups = max(1, -(-total // group_pieces))
+    cut = pieces(sized, sizes[-1])
+    dealt = cut.withColumn("_group", F.pmod("place", F.lit(groups)).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's rows are sorted by group; a group is complete when the next one begins.

@@ -86,6 +86,26 @@ def test_same_result_however_rows_are_dealt(documents):
     assert a == b
 
 
+def group_sizes(rows):
+    sizes = {}
+    for r in rows:
+        group = r.bin_id.split("-")[0]
+        sizes[group] = sizes.get(group, 0) + 1
+    return sizes
+
+
+def test_no_group_grows_with_a_repeated_id_or_long_documents(spark):
+    repeated = spark.range(3000).selectExpr("7L as doc_id", "30000 as n", "id % 2 as bin_offset")
+    got = best_fit_packing(repeated, F.col("n"), group_pieces=1000).collect()
+    check_bins(got, CAPACITIES)
+    assert len(got) == 12_000 and max(group_sizes(got).values()) < 2000
+    assert sum(r.n_tokens for r in got) == 3000 * 30_000
+    long = spark.range(300).selectExpr("id as doc_id", "300000 as n")
+    got = best_fit_packing(long, F.col("n"), group_pieces=1000).collect()
+    check_bins(got, CAPACITIES)
+    assert len(got) == 300 * 37 and max(group_sizes(got).values()) < 2000
+
+
 def test_awkward_rows(awkward, make):
     got = best_fit_packing(awkward.selectExpr("*", "1 as bin_id", "2 as _tokens")).collect()
     check_bins(got, CAPACITIES)
