@@ -75,8 +75,25 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     give an empty result. Columns of ``docs`` named like an added one are replaced.
     """
     docs = unclashed(docs, *KEEP_COLUMNS, "_maybe")
-    digested = computed_once(docs, "text_sha256", F.sha2(normalized(text).cast("binary"), 256))
-    bits = filter_bits(docs.count())
+    digested = computed_once(docs, "text_sha256", _digest(text))
+    return _marked(digested, doc_id)
+
+
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The id and the added columns of ``exact_dedup`` alone, with the same results: every text is hashed once, and both
+    passes read a written table of ids and digests."""
+    digests = docs.select(F.col(doc_id), _digest(text).alias("text_sha256"))
+    return _marked(materialize(digests, "digests"), doc_id)
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(normalized(text).cast("binary"), 256)
+
+
+def _marked(digested: DataFrame, doc_id: str) -> DataFrame:
+    """Both passes over rows that carry ``text_sha256``."""
+    columns = [c for c in digested.columns if c != "text_sha256"]
+    bits = filter_bits(digested.count())
     bitmaps = materialize(repeated_bits(digested.select("text_sha256"), bits), "repeated-bits")
     tested = maybe_repeated(digested, bitmaps, bits)
     candidates = tested.filter("_maybe").drop("_maybe")
@@ -89,7 +106,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         "repeated-texts",
     )
     alone = tested.filter(~F.col("_maybe")).select(
-        *docs.columns,
+        *columns,
         F.col(doc_id).alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
@@ -98,7 +115,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keeper = F.when(F.col("group_size").isNull(), F.col(doc_id)).otherwise(F.col("keep_id"))
     grouped = candidates.join(groups, "text_sha256", "left").select(
-        *docs.columns,
+        *columns,
         keeper.alias("keep_id"),
         size.alias("group_size"),
         keeper.eqNullSafe(F.col(doc_id)).alias("kept"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langweave.llm import chat_format
-from langweave.llm.exact_dedup import exact_dedup
+from langweave.llm.exact_dedup import exact_groups
 from langweave.llm.html_text import extract_text
 from langweave.llm.packing import best_fit_packing
 from langweave.llm.personal_data import KINDS, personal_data, span_list
@@ -38,8 +38,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup(table(spark, sf_dir, "documents"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from langweave.llm.exact_dedup import exact_dedup, filter_bits, maybe_repeated, normalized, repeated_bits
+from langweave.llm.exact_dedup import exact_dedup, exact_groups, filter_bits, maybe_repeated, normalized, repeated_bits
 from langweave.scratch import computed_once
 
 
@@ -39,6 +39,12 @@ def test_awkward_rows(awkward):
     assert exact_dedup(awkward.limit(0)).collect() == []
 
 
+def test_digests_alone_give_the_same_groups(awkward, documents):
+    for frame in (awkward, documents[0], awkward.limit(0)):
+        whole = exact_dedup(frame).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+        assert sorted(map(str, exact_groups(frame).select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_blank_runs_are_one_space_and_ends_count(make):
     got = exact_dedup(make(["a b", "a \t\r\n b", " a b", "a b"])).orderBy("doc_id").collect()
     assert [r.keep_id for r in got] == [0, 0, 2, 3]
