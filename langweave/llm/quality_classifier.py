@@ -149,11 +149,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int) -> Model:
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", bits: int = BITS, max_train_rows: int = MAX_TRAIN_ROWS
 ) -> Model:
-    """Fit on labelled rows outside the held-out fold; the sample's ids are broadcast (8 bytes each)."""
+    """Fit on labelled rows outside the held-out fold; the sample's ids are broadcast (8 bytes each).
+
+    Each id gives one row: of rows that repeat an id, that with the least features counts, and of an id's labels the
+    smaller. Null ids and null labels are not learned from, a null text has no features, and columns beside id and text
+    are not read. Without labelled rows the model scores every document alike.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
-    rows = indicators(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id"), text, bits)
+    texts = docs.select("doc_id", whole(text).alias("text"))
+    rows = indicators(texts.join(F.broadcast(sample), "doc_id"), "text", bits)
+    rows = rows.groupBy("doc_id").agg(F.min("_features").alias("_features"), F.min("_label").alias("_label"))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, features, marks = [], [], []

@@ -55,6 +55,14 @@ def test_descent_reaches_the_optimum():
         assert loss(weights + random.normal(0, 0.05, 30), offset + random.normal(0, 0.05)) >= best - 1e-6
 
 
+def test_a_repeated_id_trains_once(spark, make):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    docs = [(k, f"{'good words here' if k % 2 else 'bad text there'} {k}") for k in range(40)]
+    once, often = train(make(docs), labels), train(make(docs + [docs[3]] * 300 + [docs[4]] * 200), labels)
+    assert np.array_equal(once.weights, often.weights) and once.offset == often.offset
+    assert train(make([(k, None) for k in range(40)]), labels).score(np.array([], int)) >= 0
+
+
 def test_one_label_or_none():
     some = [np.array([1, 2]), np.array([3])]
     assert fit([], np.array([], bool), 8).score(np.array([1])) == pytest.approx(0.5)
