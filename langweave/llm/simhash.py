@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from langweave.llm.batches import text_rows
 from langweave.llm.columns import unclashed, whole
 from langweave.llm.components import connected_components
-from langweave.scratch import materialize
+from langweave.scratch import materialize, small_side
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -38,6 +38,8 @@ COUNT_BLOCK = 1 << 14
 # Reference fingerprints: successive xxHash64 values, so any number of them can be had.
 PIVOTS = 8
 CENTRES = 3
+# So many ids to drop are broadcast, if they also fit the bound in bytes; beyond it a plain join is planned.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def text_fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -209,3 +211,15 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
     found = found.withColumnRenamed(doc_id, "_id")
     joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id")
     return joined.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that ``keep_first`` marks as kept, unchanged.
+
+    Only the ids to drop meet the rows, so texts stay in place while those ids are few enough to be broadcast. An id that
+    stands for its component in one of its rows stays with all of them. Null ids stay where their component has no id.
+    """
+    stays = F.max(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    dropped = simhash_groups(docs, text, doc_id, **options).groupBy(doc_id).agg(stays.alias("_stays"))
+    gone = small_side(dropped.filter("not _stays").select(F.col(doc_id).alias("_gone")), MAX_BROADCAST_IDS)
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")

@@ -15,6 +15,7 @@ from langweave.llm.simhash import (
     pivot_coordinates,
     simhash_groups,
     text_fingerprint,
+    without_near_copies,
 )
 
 
@@ -128,6 +129,12 @@ def test_awkward_rows(awkward):
     assert simhash_groups(awkward.limit(0)).collect() == []
 
 
+def test_drop_list_keeps_the_same_rows(awkward, documents):
+    for frame in (awkward, documents[0], awkward.limit(0)):
+        kept = keep_first(frame).filter("kept").select(frame.columns)
+        assert sorted(map(str, without_near_copies(frame).collect())) == sorted(map(str, kept.collect()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("(id * 7919) % 301 as a", "((id + 1) * 7919) % 301 as b")
     got = connected_components(edges).collect()
