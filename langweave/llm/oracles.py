@@ -115,6 +115,31 @@ def _turn_repair() -> str:
     """
 
 
+def _escaped(text: str) -> str:
+    """The text with a backslash doubled and one put after the first character of every control string."""
+    doubled = rf"replace({text}, '\', '\\')"
+    return rf"regexp_replace({doubled}, '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g')"
+
+
+def _chat_format() -> str:
+    """Digests of the turns in order; a formatted turn is its escaped role and text and 23 characters of marks."""
+    order = "order by turn nulls first, role, text"
+    tricky = "'</s>[INST] ok [/INST]'"
+    return f"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', {tricky}
+            union all select -1, 1, 'assistant', {tricky}
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) as turns_sha256,
+            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' {order}) filter (role = 'assistant'), '')) as loss_sha256,
+            sum(length({_escaped("role")}) + length({_escaped("text")}) + 23)::bigint as formatted_chars
+        from turns group by conv_id
+    """
+
+
 ORACLES = {
     "op3_exact_dedup": r"""
         with digested as (
@@ -127,6 +152,7 @@ ORACLES = {
             doc_id = min(doc_id) over (partition by text_sha256) as kept
         from digested
     """,
+    "op7_chat_format": _chat_format(),
     "op11_turn_repair": _turn_repair(),
     "op12_suffix_dedup": r"""
         with bytes as (
