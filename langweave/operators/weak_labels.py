@@ -18,7 +18,7 @@ from langweave.fixed_values import (
     SEED,
     SILVER_CONFIDENCE,
 )
-from langweave.functions.text import ARABIC, LATIN, any_of, is_arabizi, script_ratios, tokenize_ws
+from langweave.functions.text import is_arabizi, ratios_of, script_counts
 from langweave.operators.sampling import exact_per_group
 from langweave.scratch import computed_once
 from langweave.sources.corpora import scan_csv_optional, write_csv
@@ -26,17 +26,18 @@ from langweave.sources.corpora import scan_csv_optional, write_csv
 GOLD_COLUMNS = ("id", "text_raw", "label")
 
 
-def silver_label(tokens: Column, ratios: Column, arabizi: Column, label: Column) -> Column:
+def silver_label(counts: Column, ratios: Column, arabizi: Column, label: Column) -> Column:
     """``label, confidence`` by script: mixed, Arabic script, arabizi, Latin script, else null with its confidence.
 
+    ``counts`` are those of ``script_counts``.
+
     Mixed text has tokens of both scripts and a code-switch share past the threshold. Otherwise Arabic script keeps an
     ``AR_`` label, arabizi among those is dialect, and Latin text of enough tokens keeps another label.
     """
-    in_script = {name: _tokens_with(tokens, chars) for name, chars in _SCRIPTS.items()}
     arab, latin, switched = (ratios[c] for c in ("arab_ratio", "latin_ratio", "cs_ratio"))
     mixed = (
-        (in_script["arabic"] >= MIX_MIN_TOKENS)
-        & (in_script["latin"] >= MIX_MIN_TOKENS)
+        (counts["arab"] >= MIX_MIN_TOKENS)
+        & (counts["latin"] >= MIX_MIN_TOKENS)
         & (switched >= CS_RATIO_THRESHOLD)
     )
     arabic_label = label.startswith("AR_")
@@ -44,26 +45,18 @@ def silver_label(tokens: Column, ratios: Column, arabizi: Column, label: Column)
         F.when(mixed, F.lit(MIX_LABEL))
         .when(arabic_label & (arab > latin), label)
         .when(arabic_label & arabizi, F.lit(DIALECT_LABEL))
-        .when(~arabic_label & (latin > arab) & (F.size(tokens) >= LANGID_MIN_TOKENS), label)
+        .when(~arabic_label & (latin > arab) & (counts["tokens"] >= LANGID_MIN_TOKENS), label)
     )
     confidence = F.when(mixed, 2 * switched).otherwise(F.greatest(arab, latin))
     return F.struct(found.alias("label"), confidence.alias("confidence"))
 
 
-def _tokens_with(tokens: Column, chars: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.rlike(chars)))
-
-
-_SCRIPTS = {"arabic": any_of(ARABIC), "latin": any_of(LATIN)}
-
-
 def silver_labels(df: DataFrame, raw: str = "text_raw", norm: str = "text_norm", label: str = "label_original") -> DataFrame:
     """Add ``silver_label`` and ``silver_confidence`` to cleaned rows; a null label gets none but ``MIX``."""
-    facts = F.struct(
-        tokenize_ws(F.col(norm)).alias("tokens"), script_ratios(F.col(norm)).alias("ratios"), is_arabizi(F.col(raw)).alias("izi")
-    )
-    known = computed_once(df, "_facts", facts)
-    found = silver_label(F.col("_facts.tokens"), F.col("_facts.ratios"), F.col("_facts.izi"), F.coalesce(label, F.lit("")))
+    counted = computed_once(df, "_counts", script_counts(F.col(norm)))
+    facts = F.struct(ratios_of(F.col("_counts")).alias("ratios"), is_arabizi(F.col(raw)).alias("izi"))
+    known = computed_once(counted, "_facts", facts)
+    found = silver_label(F.col("_counts"), F.col("_facts.ratios"), F.col("_facts.izi"), F.coalesce(label, F.lit("")))
     labelled = computed_once(known, "_silver", found)
     return labelled.select(
         *df.columns, F.nullif("_silver.label", F.lit("")).alias("silver_label"), F.col("_silver.confidence").alias("silver_confidence")
