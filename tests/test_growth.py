@@ -2,11 +2,14 @@
 
 import glob
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from langweave import scratch
 from langweave.functions import text as tx
-from langweave.operators import weak_labels
+from langweave.operators import features, grams, linear_fit, weak_labels
 from langweave.sources import corpora
 
 ODD = ["", " ", "\t  ", " a", "a ", "a b", "  ab\ncd  3l واش mixو \U0001f44d x", "​q", None]
@@ -39,3 +42,59 @@ def test_costly_columns_are_computed_below_the_generator(spark):
     generator = next(line for line in plan(rows).splitlines() if "Generate" in line)
     assert "md5" not in generator and rows.columns == ["t", "x"]
     assert rows.first()["x"] == "0cc175b9c0f1b6a831c399e269772661"
+
+
+TEXTS = ["ab ab cd", " x  \U0001f44d\U0001f3fdé ퟿ ab", "", None, "cab", "ab cd ab cd ab", "\x00 a\x00b", "واش 3likom"]
+
+
+@pytest.mark.parametrize("block", [features.WORD, features.CHAR])
+@pytest.mark.parametrize("step", [1, 1 << 21])
+def test_numbered_grams_are_those_of_the_patterns(spark, monkeypatch, block, step):
+    """Counts of all grams in whole arrays equal those of the native patterns, and no row is made for a gram."""
+    monkeypatch.setattr(grams, "STEP_BYTES", step)
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    options = features.FeatureOptions()
+    every = np.ones(1 << 10, bool)
+    found = features._counted_in(docs, "t", block, options, every)
+    wanted = features.term_statistics(docs, "t", block, options)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    # The sketch counts every gram, and a term's bucket is the same wherever it stands.
+    sketch = {r["bucket"]: r["n"] for r in features.term_sketch(docs, "t", block, options).collect()}
+    assert sum(sketch.values()) == wanted.agg(F.sum("total_tf")).first()[0]
+    vocabulary = features.fit_vocabulary(docs, "t", block, options)
+    both = [f(docs, "t", block, vocabulary, options).drop("t").collect() for f in (features.add_tfidf, features.add_weighed)]
+    for native, weighed in zip(*both):
+        assert native[0] == weighed[0] and native[1] == pytest.approx(weighed[1])
+    assert "regexp_extract_all" not in plan(features.add_weighed(docs, "t", features.CHAR, vocabulary, options))
+
+
+def test_numbers_of_grams_are_dealt_anew_before_they_overflow(spark, monkeypatch):
+    texts = pa.array(["abcd abce", "bcda"])
+    few = pa.RecordBatch.from_arrays([texts], ["t"])
+    full = np.ones(64, bool)
+    wanted = [b.to_pydict() for b in grams.counted(False, (2, 4), full)([few])]
+    monkeypatch.setattr(grams, "MOST", 20)
+    assert [b.to_pydict() for b in grams.counted(False, (2, 4), full)([few])] == wanted
+
+
+def test_a_fit_packs_its_vectors_once(spark):
+    """Blocks give the sums of the rows they are made of, also of rows without entries, and are freed after the fit."""
+    rows = spark.createDataFrame(
+        [([0, 2], [1.0, 2.0], 0), ([], [], 1), ([1], [-1.0], 1), ([0, 1, 2], [0.5, 0.25, 1.0], 0)],
+        "indices array<int>, values array<double>, y int",
+    ).coalesce(1)
+    loss = linear_fit.Loss(linear_fit.HINGE, (1.0, 2.0), 4)
+    weights = np.arange(8.0).reshape(2, 4) / 10
+    x = np.array([[1, 0, 2, 1], [0, 0, 0, 1], [0, -1, 0, 1], [0.5, 0.25, 1, 1]])
+    parts, slopes = loss.of_rows(x @ weights.T, np.array([0, 1, 1, 0]))
+    penalty, own = loss.penalty(weights.copy())
+    for size in (1, 1 << 16):
+        linear_fit.BLOCK_ENTRIES, kept = size, linear_fit.BLOCK_ENTRIES
+        try:
+            with linear_fit.kept_blocks(rows) as blocks:
+                value, gradient = linear_fit.evaluate(blocks, weights, loss)
+                assert blocks.storageLevel.useMemory and blocks.columns == ["slots", "entries", "lengths", "y"]
+        finally:
+            linear_fit.BLOCK_ENTRIES = kept
+        assert not blocks.storageLevel.useMemory
+        assert value == pytest.approx(parts + penalty) and gradient == pytest.approx(slopes.T @ x + own)
