@@ -98,3 +98,40 @@ def test_a_fit_packs_its_vectors_once(spark):
             linear_fit.BLOCK_ENTRIES = kept
         assert not blocks.storageLevel.useMemory
         assert value == pytest.approx(parts + penalty) and gradient == pytest.approx(slopes.T @ x + own)
+
+
+@pytest.mark.parametrize("clean", [True, False])
+def test_an_svm_passes_over_the_rows_near_its_margins(spark, monkeypatch, clean):
+    """With the same minimum; over all rows only to look at it. Where classes cannot be told apart, all rows are used."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 600)
+    x = (4 * np.eye(6)[y] if clean else 0) + 0.5 * rng.standard_normal((600, 6))
+    rows = spark.createDataFrame(
+        [(list(range(6)), v.tolist(), int(k)) for v, k in zip(x, y)], "indices array<int>, values array<double>, y int"
+    ).repartition(3)
+    loss = linear_fit.Loss(linear_fit.HINGE, (2.0, 1.0, 1.5), 600)
+    monkeypatch.setattr(linear_fit, "DRAWN_ROWS", 60)
+    monkeypatch.setattr(linear_fit, "BLOCK_ENTRIES", 100)
+    with linear_fit.kept_blocks(rows) as blocks:
+        plain = linear_fit.start(blocks, loss, 3, 6).run(200, 1e-5)
+        evaluate, whole = linear_fit.evaluate, []
+        monkeypatch.setattr(linear_fit, "evaluate", lambda v, *a: whole.append(v is blocks) or evaluate(v, *a))
+        fit = linear_fit.fit_margins(blocks, loss, 3, 6, 200, 1e-4)
+        assert fit.passes == len(whole) and fit.bound().max() <= 1e-4
+        assert fit.value == pytest.approx(plain.value, rel=2e-4)
+        assert (sum(whole) * 3 < plain.passes) == clean and not all(whole)
+        value, gradient = evaluate(blocks, fit.weights, loss)
+        assert fit.value == pytest.approx(value) and fit.gradient == pytest.approx(gradient)
+        for few in (2, 5):
+            assert linear_fit.fit_margins(blocks, loss, 3, 6, few, 1e-9).passes == few
+
+
+def test_working_rows_are_those_near_a_margin(spark):
+    rows = spark.createDataFrame([([0], [2.0], 0), ([0], [0.5], 0), ([], [], 1), ([0], [-3.0], 1)],
+                                 "indices array<int>, values array<double>, y int").coalesce(1)
+    loss, weights = linear_fit.Loss(linear_fit.HINGE, (1.0, 1.0), 4), np.array([[1.0, 0.0], [-1.0, 0.0]])
+    with linear_fit.kept_blocks(rows) as blocks:
+        near = blocks.mapInArrow(linear_fit._near(weights, loss, 1.0), linear_fit._BLOCK_DDL).collect()
+    assert [np.frombuffer(bytes(near[0][c]), t).tolist() for c, t in zip(("entries", "lengths", "y"), (float, int, int))] == [
+        [0.5], [1, 0], [0, 1]
+    ]
