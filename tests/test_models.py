@@ -316,6 +316,15 @@ def test_fit_is_bounded_and_vocabulary_is_not(corpus):
     assert bounded.features.word.terms == training.prepare_training(corpus, options).features.word.terms
 
 
+def test_a_fit_sees_every_train_row(corpus, monkeypatch):
+    """No number of rows is left out of the vectors unless a caller asks for a sample."""
+    monkeypatch.setattr(training, "sample_exact", lambda rows, n, key: rows.limit(1))
+    tables = training.prepare_training(corpus, ft.FeatureOptions(max_features=300))
+    wanted = corpus.filter("split = 'train'").count()
+    assert tables.train.count() == wanted
+    assert training.vector_tables(corpus, tables.features.only(ft.WORD)).train.count() == wanted
+
+
 def test_scorer_runs_on_a_plain_stream(spark, softmax, tmp_path):
     """Scoring keeps no state, so the same columns also work in an ordinary streaming plan."""
     rows = spark.createDataFrame([("a", "what are the best"), ("b", "quels sont les avantages")], "turn_id string, text string")
