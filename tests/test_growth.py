@@ -135,3 +135,42 @@ def test_working_rows_are_those_near_a_margin(spark):
     assert [np.frombuffer(bytes(near[0][c]), t).tolist() for c, t in zip(("entries", "lengths", "y"), (float, int, int))] == [
         [0.5], [1, 0], [0, 1]
     ]
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Rows alone bound no memory: a few hundred blocks of a fit are a few hundred megabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "64m")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = scratch.in_small_batches(spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1000000)").alias("t")))
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 10_000_000
+    spark.conf.set(name, "1m")
+    assert scratch.in_small_batches(rows) is rows and spark.conf.get(name) == "1m"
+    spark.conf.set(name, "8m")
+
+
+def test_sums_of_tasks_are_added_as_they_come():
+    read = []
+
+    def batches():
+        for ranges in ([1, 1], [1, 2], [2], [], [3]):
+            read.append(ranges)
+            sums = [np.array([float(r), 1.0]).tobytes() for r in ranges]
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(sums, pa.binary())], ["range", "sums"])
+
+    found = linear_fit._added(batches())
+    first = next(found)
+    assert len(read) == 2
+    rows = [(b.column(0)[0].as_py(), np.frombuffer(b.column(1)[0].as_py()).tolist()) for b in (first, *found)]
+    assert rows == [(1, [3.0, 3.0]), (2, [4.0, 2.0]), (3, [3.0, 1.0])]
+    assert list(linear_fit._added([])) == []
+
+
+def test_both_blocks_are_weighed_by_one_worker(spark):
+    docs = spark.createDataFrame([("ab abc ab",), (None,)], "t string")
+    entries = features.fit_features(docs.na.drop(), "t").add_entries(docs, "t", in_batches=True)
+    assert entries._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
