@@ -201,6 +201,37 @@ def test_models_of_different_features_score_in_one_pass(spark, corpus, tables, s
     assert plan.count("Exchange") == 0
 
 
+def test_vectors_of_one_block_are_cut_from_those_of_both(corpus, tables, monkeypatch):
+    wanted = {block: training.vector_tables(corpus, tables.features.only(block)) for block in (ft.WORD, ft.CHAR)}
+    monkeypatch.setattr(ft, "script_ratios", lambda text: pytest.fail("a text is cut again"))
+    for block, plain in wanted.items():
+        cut = training.block_tables(tables, block)
+        assert cut.features == plain.features
+        for one, other in ((cut.train, plain.train), (cut.valid, plain.valid)):
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.dtypes == other.dtypes
+
+
+def test_tables_are_scored_in_batches_as_rows_are(spark, corpus, tables, svm, softmax):
+    texts = corpus.select("id", "text_norm").union(spark.createDataFrame([("n", None), ("e", "")], "a string, b string"))
+    words = models.LanguageClassifier(
+        models.SVM, tables.features.only(ft.WORD), training.fit_svm(training.block_tables(tables, ft.WORD)).parts, svm.labels
+    )
+    for model in (svm, softmax, words):
+        got, want = ({r["id"]: r for r in f(texts, "text_norm").collect()} for f in (model.predict_table, model.predict))
+        assert got.keys() == want.keys() and len(got) == texts.count()
+        for key, row in want.items():
+            assert got[key]["scores"] == pytest.approx(row["scores"]) and got[key]["pred"] == row["pred"]
+
+
+def test_detection_of_a_table_builds_no_string_for_a_gram(spark, corpus, softmax):
+    found = models.detect(softmax, corpus.select("id", "text_raw"), "id", "text_raw")
+    compared = models.compare_models({"a": softmax}, corpus, "id", "text_raw", "label_original")
+    for rows in (found, compared):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        # Words are cut natively, grams of them are not.
+        assert "(?<![^ ])" not in plan and "zip_with" not in plan and "Exchange" not in plan
+
+
 def test_dialect_phrases_through_both_models(spark, svm, softmax):
     phrases = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(ROBUSTNESS_PHRASES)], "id int, phrase string, expected string")
     rows = models.compare_models({"svm": svm, "softmax": softmax}, phrases, "id", "phrase", "expected")
